@@ -26,26 +26,40 @@ ANCHORS = (
     " al como con del el ella ellos en es esta este fue ha la las lo los más me mi muy no para pero por que se si sin su sus te un"
     " una y ya yo"
 ).split()
-LETTER = r"[\p{L}\p{N}\p{M}]"
+#: Whatever is not one blank between words.
+RUNS = r"[^a-zß-öø-ÿ \p{L}\p{N}\p{M}][^\p{L}\p{N}\p{M}]*+| [^\p{L}\p{N}\p{M}]++"
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern for any of the words, shared beginnings tried once."""
+    heads: dict[str, set[str]] = {}
+    for word in words:
+        if word:
+            heads.setdefault(word[0], set()).add(word[1:])
+    if not heads:
+        return ""
+    found = "|".join(head + any_of(heads[head]) for head in sorted(heads))
+    return f"(?:{found})?" if "" in words else f"(?:{found})"
 
 
 def pattern(chain: int, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS)) -> str:
-    """A pattern whose first group is the text of one spot, from its anchor to its last content word."""
-    common = f"(?:{'|'.join(sorted(set(anchors), key=lambda w: (-len(w), w)))})(?!{LETTER})"
-    gap = r"[^\p{L}\p{N}\p{M}]++"
-    content = f"(?!{common}){LETTER}++"
-    skip = f"(?:{common}{gap})*+"
-    return f"(?<!{LETTER})(?=({common}{gap}{content}" + f"{gap}{skip}{content}" * (chain - 1) + "))"
+    """In words between single blanks: one spot as the first group, from its anchor to its last content word."""
+    common = any_of(set(anchors))
+    content = f"(?!{common} )[^ ]++"
+    return f" (?=({common} {content}" + f"(?: {common}(?= ))*+ {content}" * (chain - 1) + ") )"
 
 
-def signatures(text: Column, chain: int = 2) -> Column:
-    """Sorted distinct 64-bit hashes of a text's signatures."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    spots = F.regexp_extract_all(low, F.lit(pattern(chain)), F.lit(1))
-    # Inside a spot, only its words count: what stands between them is made one space.
-    clean = F.transform(F.array_distinct(spots), lambda s: F.xxhash64(F.regexp_replace(s, r"[^\p{L}\p{N}\p{M}]+", " ")))
-    bare = F.array(F.xxhash64(F.lit("whole"), F.regexp_replace(low, r"[^\p{L}\p{N}\p{M}]+", " ")))
-    return F.sort_array(F.array_distinct(F.when(F.size(spots) > 0, clean).otherwise(bare)))
+def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> DataFrame:
+    """Adds the sorted distinct 64-bit hashes of a text column's signatures.
+
+    One column for each step, so that the step that reads the whole text runs once.
+    """
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), RUNS, " "), F.lit(" "))
+    skipped = f"(?<= )(?:{any_of(set(ANCHORS))} )+"
+    spots = F.transform(F.regexp_extract_all(words, F.lit(pattern(chain)), F.lit(1)), lambda s: F.xxhash64(F.regexp_replace(s, skipped, "")))
+    rows = rows.withColumn(name, F.sort_array(F.array_distinct(spots)))
+    whole = F.array(F.xxhash64(F.lit("whole"), F.trim(words)))
+    return rows.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(whole))
 
 
 def fingerprint(signature_set: Column) -> Column:
@@ -80,12 +94,11 @@ def with_next(rows: DataFrame, carry: list[str], rows_per_block: int = 2000) ->
 def fingerprints(documents: DataFrame, chain: int = 2) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("own", signatures(F.col("text"), chain)), ["text", "own"])
+    rows = with_next(with_signatures(rows, "text", "own", chain), ["text", "own"])
     half = F.expr("length(text) div 2")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("next"),
-    ).withColumn("other", signatures(F.col("edited"), chain))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("next"))
+    rows = with_signatures(rows, "edited", "other", chain)
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"),
@@ -100,7 +113,8 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, chain: int = 2) ->
     a partition they meet over the signatures of their prefix, rarest first, so that no pair below the bound needs a full
     comparison for a common signature. Sets of one text or of equal signatures are one row here.
     """
-    rows = documents.filter("doc_id is not null and text is not null").select("doc_id", signatures(F.col("text"), chain).alias("set"))
+    rows = documents.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = with_signatures(rows, "text", "set", chain).select("doc_id", "set")
     sets = base.cut(rows.groupBy("set").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("set")))
     spread = sets.select("id", F.explode("set").alias("sig"))
     rare = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
