@@ -11,6 +11,8 @@ in doc_id are ordered by text. An only document is followed by itself. Empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,28 +75,33 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(small < large * least, F.lit(0.0)).otherwise(both / (small + large - both)).cast("double")
 
 
-def with_next(rows: DataFrame, carry: list[str], rows_per_block: int = 2000) -> DataFrame:
-    """Adds next_<c> for each c of carry: that of the next row by (doc_id, text), after the last that of the first.
+def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame], rows_per_block: int = 500) -> DataFrame:
+    """Rows (doc_id, text) with the columns that `derive` adds, and next_<c> for text and each of those: what the next row by
+    (doc_id, text) has, after the last row what the first has.
 
-    Rows (doc_id, text and more) move once: they are dealt into ranges of doc_id, and the last row of a range gets the first
-    row of the next range from a table with one row for each range.
+    Rows move once: they are dealt into ranges of doc_id, and the last row of a range gets the first row of the next range
+    from a table with one row for each range.
     """
     bounds = base.block_bounds(rows, "doc_id", rows_per_block)
     rows = rows.withColumn("block", base.block_of(F.col("doc_id"), bounds))
-    heads = rows.select("block", F.struct(F.col("doc_id").isNotNull(), "doc_id", "text").alias("at"), F.struct(*carry).alias("row"))
-    heads = base.cut(heads.groupBy("block").agg(F.min_by("row", "at").alias("row")))
+    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text"))["text"].alias("text"))
+    heads = derive(heads)
+    carry = [c for c in heads.columns if c != "block"]
+    heads = base.cut(heads.select("block", F.struct(*carry).alias("row")))
     line = Window.orderBy("block")  # one row for each range
     start = F.first("row").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     edges = base.cut(heads.select("block", F.coalesce(F.lead("row").over(line), start).alias("edge")))
     here = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    led = rows.withColumn("after", F.lead(F.struct(*carry)).over(here)).join(edges, "block", "left")
-    return led.withColumns({f"next_{c}": F.coalesce(F.col("after"), F.col("edge"))[c] for c in carry}).drop("block", "after", "edge")
+    led = derive(rows)
+    led = led.withColumns({"after": F.lead("block").over(here)} | {f"next_{c}": F.lead(c).over(here) for c in carry}).join(edges, "block", "left")
+    last = F.col("after").isNull()
+    return led.withColumns({f"next_{c}": F.when(last, F.col("edge")[c]).otherwise(F.col(f"next_{c}")) for c in carry}).drop("block", "after", "edge")
 
 
 def fingerprints(documents: DataFrame, chain: int = 2) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_signatures(rows, "text", "own", chain), ["text", "own"])
+    rows = with_next(rows, lambda r: with_signatures(r, "text", "own", chain))
     half = F.expr("length(text) div 2")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("next"))
