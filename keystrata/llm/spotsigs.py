@@ -57,7 +57,7 @@ def with_signatures(rows: DataFrame, text: str, name: str, chain: int = 2) -> Da
     One column for each step, so that the step that reads the whole text runs once.
     """
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), RUNS, " "), F.lit(" "))
-    skipped = f"(?<= )(?:{any_of(set(ANCHORS))} )+"
+    skipped = f"(?<= )(?:{any_of(set(ANCHORS))} )++"  # possessive: a plain + would recurse
     spots = F.transform(F.regexp_extract_all(words, F.lit(pattern(chain)), F.lit(1)), lambda s: F.xxhash64(F.regexp_replace(s, skipped, "")))
     rows = rows.withColumn(name, F.sort_array(F.array_distinct(spots)))
     whole = F.array(F.xxhash64(F.lit("whole"), F.trim(words)))
