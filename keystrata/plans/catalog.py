@@ -403,6 +403,54 @@ def zipf_zeta(spark, sf):
     return spark.range(1, 100_001).agg(F.round(F.sum(1 / F.pow("id", F.lit(workload.THETA))), 6).alias("zeta"))
 
 
+DRAW_SQL = "('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 6))::BIGINT / 16777216.0::DOUBLE"
+FNV_SQL = """CAST(list_reduce([14695981039346656037::UHUGEINT] || list_transform(range(0, 64, 8), lambda s: ((id >> s::INTEGER) & 255)::UHUGEINT),
+ lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR)"""
+
+
+@query(f"SELECT id, {FNV_SQL} AS hash FROM (SELECT o_orderkey AS id FROM orders)")
+def key_hash(spark, sf):
+    return orders(spark, sf).select(F.col("o_orderkey").alias("id"), kv.fnv1a("o_orderkey").cast("string").alias("hash"))
+
+
+@query(f"""WITH z AS (SELECT sum(1 / pow(i, 0.99::DOUBLE)) AS zn FROM range(1, 5001) AS x(i)), d AS (SELECT i, {DRAW_SQL} AS u FROM range(0, 20000) AS x(i)),
+ e AS (SELECT *, (1 - pow(2.0::DOUBLE / 5000, 1 - 0.99::DOUBLE)) / (1 - (1 + pow(0.5::DOUBLE, 0.99)) / zn) AS eta FROM d, z),
+ r AS (SELECT CASE WHEN u * zn < 1 THEN 0 WHEN u * zn < 1 + pow(0.5::DOUBLE, 0.99) THEN 1
+  ELSE least(4999, CAST(floor(5000 * pow(eta * u - eta + 1, 1 / (1 - 0.99::DOUBLE))) AS BIGINT)) END AS rank FROM e)
+SELECT CAST(rank AS BIGINT) AS rank, CAST(greatest(0, 4999 - rank) AS BIGINT) AS newest, count(*) AS n FROM r GROUP BY ALL""")
+def zipf_ranks(spark, sf):
+    z, n = workload.zeta(spark, 5000), 5000
+    rank = workload.zipf(workload.uniform(F.col("id")), n, z)
+    rows = spark.range(20_000).select(rank.alias("rank"))
+    return rows.select("rank", workload.latest_skew(F.lit(n - 1), F.col("rank")).alias("newest")).groupBy("rank", "newest").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 5 = 0 THEN '# ' || o_orderpriority
+ ELSE '  run' || CAST(o_orderkey AS VARCHAR) || '  ' || CASE WHEN o_orderkey % 2 = 0 THEN 'load' ELSE 'run' END || ' workload' || chr(97 + CAST(o_orderkey % 6 AS INTEGER)) || ' # note' END AS line FROM orders),
+ p AS (SELECT regexp_split_to_array(trim(regexp_replace(line, '#.*$', '')), '\\s+') AS w FROM l)
+SELECT w[1] AS name, w[2] AS phase, w[3] AS workload FROM p WHERE w[1] <> '' AND w[2] IN ('load', 'run')""")
+def execution_plan(spark, sf):
+    i = F.col("o_orderkey")
+    step = F.concat(F.lit("  run"), i.cast("string"), F.lit("  "), F.when(i % 2 == 0, "load").otherwise("run"), F.lit(" workload"), F.chr(97 + i % 6), F.lit(" # note"))
+    line = F.when(i % 5 == 0, F.concat(F.lit("# "), F.col("o_orderpriority"))).otherwise(step)
+    return workload.plan_file(orders(spark, sf).select(line.alias("line")))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey NOT IN (SELECT l_orderkey FROM f)""")
+def guard_recovery(spark, sf):
+    """Tables that were allocated and never freed, lines with flag R being the frees."""
+    lines = oplog.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_returnflag") == "R").alias("freed"))
+    return lines.groupBy("key").agg(F.max("freed").alias("freed")).filter(~F.col("freed")).select("key")
+
+
+@query(f"""WITH {VERSIONS}, {SEGMENTS} SELECT count(*) FILTER (garbage_bytes > 0) AS segments_with_garbage,
+ CAST(sum(garbage_bytes) AS BIGINT) AS garbage_bytes, CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM g""")
+def garbage_stats(spark, sf):
+    dirty = F.count(F.when(F.col("garbage_bytes") > 0, 1)).alias("segments_with_garbage")
+    return merge.garbage(segments(spark, sf)).agg(dirty, F.sum("garbage_bytes").alias("garbage_bytes"), F.sum("total_bytes").alias("total_bytes"))
+
+
 @query()
 def ycsb_transactions(spark, sf):
     return workload.transactions(spark, 20_000, 5000, "e")

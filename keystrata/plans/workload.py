@@ -31,9 +31,14 @@ def value_size(i: Column, mix: str) -> Column:
     return F.get(sizes, (i % 10).cast("int")).cast("long")
 
 
+def uniform(i: Column) -> Column:
+    """A number below 1 from a hash of i that any engine can make."""
+    return F.conv(F.substring(F.md5(i.cast("string").cast("binary")), 1, 6), 16, 10).cast("long") / float(1 << 24)
+
+
 def choose(i: Column, shares: dict[str, float]) -> Column:
-    """The operation of the i-th request: cumulative shares over a hash of i that any engine can make."""
-    draw = F.conv(F.substring(F.md5(i.cast("string").cast("binary")), 1, 6), 16, 10).cast("long") / float(1 << 24)
+    """The operation of the i-th request: cumulative shares over a uniform number of i."""
+    draw = uniform(i)
     out, upto = None, 0.0
     for name, share in shares.items():
         upto += share
