@@ -77,13 +77,14 @@ def block_of(key: Column, bounds: list) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
 
 
-def running(df: DataFrame, group: list[str], block: str, order: list, totals: list[str]) -> DataFrame:
+def running(df: DataFrame, group: list[str], block: str, order: list, totals: list[str], counted: DataFrame | None = None) -> DataFrame:
     """Adds `rank` (0-based) and `before_<c>` for each c of totals: exact running figures within `group` in the order (block, *order).
 
     Blocks are numbered in that order and each is small, so no task gets a whole group: rows are ranked inside (group, block)
     and shifted by the totals of the blocks before, a table with one row for each block. Group and block hold no nulls.
+    `counted` has the group, block and totals of the same rows, where those are cheaper to read than df.
     """
-    per = df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in totals))
+    per = (df if counted is None else counted).groupBy(*group, block).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in totals))
     past = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(
         *group,
@@ -105,12 +106,15 @@ def attach(rows: DataFrame, key: str, table: DataFrame, weight: str, share: int
     """rows left join table on key (unique in table), where `weight` of the table counts the rows of each key.
 
     Keys holding at least 1/share of all rows number at most `share`, so that part of the table is broadcast and its rows
-    never move; the other keys are joined by a shuffle, where none is hot.
+    never move; the other keys are joined by a shuffle, where none is hot. Rows are not read for other keys if there are none.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.filter(F.col(weight) * share >= total).withColumn("_hot", F.lit(True))
     values = [c for c in table.columns if c != key]
     marked = rows.join(F.broadcast(hot), key, "left")
     done = marked.filter("_hot").drop("_hot")
+    cold = table.filter(F.col(weight) * share < total)
+    if cold.isEmpty():
+        return done
     rest = marked.filter("_hot is null").drop("_hot", *values)
-    return done.unionByName(rest.join(table.filter(F.col(weight) * share < total), key, "left"))
+    return done.unionByName(rest.join(cold, key, "left"))

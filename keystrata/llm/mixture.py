@@ -76,27 +76,33 @@ def quotas(table: DataFrame, shards: int, blocks: int) -> DataFrame:
 
 def mix(documents: DataFrame, keep: list[str] | None = None, shards: int = 8, blocks: int = 65_536, seed: int = 17, rows_per_block: int = 4000) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents, and the columns named in `keep`."""
-    kept = {f"kept_{i}": F.col(f"`{c}`") for i, c in enumerate(keep or [])}
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), base.word_count(F.col("text")).alias("size"),
-        *(c.alias(name) for name, c in kept.items()),
-    )
-    narrow = rows.select("doc_id", "source", "size")
-    if not keep:
-        rows = narrow = base.cut(narrow)
+    number, source = F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")
+    narrow = base.cut(documents.select(number, source, base.word_count(F.col("text")).alias("size")))
     name = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
     per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = base.cut(quotas(targets(base.cut(per)), shards, blocks).withColumn("name", name))
     n_rows = plan.agg(F.sum("n")).first()[0] or 0
     deal = max(1, min(4096, -(-n_rows // rows_per_block)))
     draw = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)))
-    laid = rows.withColumns({"name": name, "draw": draw, "part": F.pmod(draw, F.lit(deal))}).drop("source")
-    laid = base.running(laid, ["name"], "part", ["draw", F.col("doc_id").asc_nulls_first(), "size"], ["size"])
-    out = base.attach(laid, "name", plan.select("name", "source_size", "target", "words", "n"), "n")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"name": name, "draw": draw, "part": F.pmod(draw, F.lit(deal))}).drop("source")
+
+    # Wide rows get their source's plan before their words are counted and before they move; block totals come from the narrow ones.
+    kept, order = {}, ["draw", F.col("doc_id").asc_nulls_first(), "size"]
+    rows = narrow
+    if keep:
+        kept = {"body" if c == "text" else f"kept_{i}": c for i, c in enumerate(keep)}
+        rows = documents.select(number, source, *(F.col(f"`{c}`").alias(k) for k, c in ({"body": "text"} | kept).items()))
+        order.append(F.xxhash64("body"))
+    out = base.attach(dealt(rows), "name", plan.select("name", "source_size", "target", "words", "n"), "n")
+    if keep:
+        out = out.withColumn("size", base.word_count(F.col("body")))
+    out = base.running(out, ["name"], "part", order, ["size"], counted=dealt(narrow))
     whole = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)
     part = F.when(F.col("source_size") > 0, F.col("words") % F.col("source_size")).otherwise(0)
     taken = F.col("size") * whole + F.greatest(F.lit(0), F.least(F.col("size"), part - F.col("before_size")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(n).alias(c) for n, c in zip(kept, keep or [], strict=True)))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(k).alias(c) for k, c in kept.items()))
 
 
 def apply_mix(documents: DataFrame) -> DataFrame:
