@@ -223,7 +223,7 @@ def encoder(path: str) -> Encoder:
     return _state[path]
 
 
-def encode_documents(documents: DataFrame, path: str, window_bytes: int = 8 << 20, with_ids: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, path: str, window_bytes: int = 2 << 20, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of documents; with the ids themselves on request (binary).
 
     The vocabulary file is part of the installed tokenizer package on every machine, as the library itself is.
