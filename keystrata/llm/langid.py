@@ -27,6 +27,8 @@ from keystrata.llm.token_counts import windows
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 20
+#: Bytes whose subwords are looked up at once.
+AT_ONCE = 1 << 18
 SIZES = (3, 4)
 
 #: Bytes as subwords see them: ASCII letters in lower case, other ASCII as blanks, the rest as they are.
@@ -96,7 +98,7 @@ def logits(texts: list[bytes], model: Model) -> np.ndarray:
         for part in pieces(text):
             owners.append(i), held.append(part)
             size += len(part)
-            if size >= PIECE:
+            if size >= AT_ONCE:
                 add(owners, held)
                 owners, held, size = [], [], 0
     if held:
@@ -193,7 +195,7 @@ def predict(documents: DataFrame, model: Model | None, keep: bool = False) -> Da
         for batch in batches:
             column = batch.column("text" if keep else "_text")
             names, scores, bad = [], [], []
-            for part in windows(column, 8 << 20):
+            for part in windows(column, 2 << 20):
                 a, b, c = judge(part.to_pylist(), own)
                 names += a
                 scores += b
