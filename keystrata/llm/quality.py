@@ -1,21 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
 Every text gets counts (words, symbols, repeated lines, repeated 8-word windows) and five ratios made of them. A fixed base
-rule comes first. Of the other rules, each rejects texts whose ratio is above a cutoff; the cutoff is the lowest of a fixed grid for
-which, in every stratum, the share of good texts that it rejects is below `risk` by an exact binomial test on labelled holdout
-rows. All rules, cutoffs and strata share one error level by Bonferroni's correction, and the risk is divided among the rules,
-so that with probability 1 - `error` no stratum loses more than `risk` of its good texts to them all. A stratum is a language;
-the languages with too few labelled good rows to pass any test are tested together with the rest of their kind as one stratum.
-A ratio none of whose cutoffs pass rejects nothing.
+rule comes first. Of the other rules, each rejects texts whose ratio is above a cutoff. A stratum is a language, and its cutoffs are found
+on its own labelled rows alone, all of them: the cutoff of a ratio is the lowest of a fixed grid for which the share of the stratum's
+good texts that it rejects is below `risk` by an exact binomial test. The cutoffs of one ratio are nested and tested from the
+loosest, up to the first that fails, so they need no correction among themselves; rules and strata share one error level by
+Bonferroni's correction, and the risk is divided among the rules, so that with probability 1 - `error` no stratum loses more than
+`risk` of its good texts to them all. In a stratum with too few good rows for any test, and for a ratio none of whose
+cutoffs pass there, the rules reject nothing: the base rule alone decides. No stratum bears on the cutoffs of another but by
+the number of strata in the correction.
 
 Nulls: a null text has no words and fails the base rule; a null lang is a stratum; null or conflicting labels of one document
-count as bad quality not known: such rows are left out. Empty tables, missing labels: no cutoffs, the base rule alone decides.
+mean that its quality is not known: such rows are left out. Empty tables, missing labels: no cutoffs, the base rule alone decides.
 Repeated rows are judged alike; very long texts are read whole, in memory proportional to one text; other columns are kept on request.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,13 +31,14 @@ from pyspark.sql import functions as F
 from keystrata.llm import base
 from keystrata.llm.token_counts import windows
 
+LOG = logging.getLogger(__name__)
 WINDOW = 8
 # The characters that count as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("symbols", "dup_lines", "repeats", "shouts", "marks")
-#: Cutoffs tried for each ratio, from the strictest; fixed beforehand, so that the correction for them holds.
+#: Cutoffs tried for each ratio, from the strictest; fixed beforehand, so that the tests hold.
 GRID = tuple(round(0.02 * 1.25**k, 4) for k in range(18))
 MARKS = b"!?*#$%&|<>=+~^_{}[]\\@"
 
@@ -105,60 +110,96 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def control(rows: list[tuple[str | None, int, tuple[float, ...]]], risk: float = 0.02, error: float = 0.05) -> dict[str, float]:
-    """The cutoff of each ratio that passes, from labelled rows (stratum, quality, ratios) that the base rule keeps."""
-    good = [(s, r) for s, q, r in rows if q == 1]
-    sizes = Counter(s for s, _ in good)
-    rule_risk, tests = risk / len(RATIOS), len(RATIOS) * len(GRID) * max(1, len(sizes) + 1)
-    level = error / tests
-    needed = math.ceil(math.log(level) / math.log1p(-rule_risk))  # so many without one rejection pass
-    strata: dict = defaultdict(list)
-    for s, r in good:
-        strata[("own", s) if sizes[s] >= needed else ("rest",)].append(r)
-    out: dict[str, float] = {}
-    for i, name in enumerate(RATIOS):
-        for cutoff in GRID:
-            lost = [(sum(r[i] > cutoff for r in held), len(held)) for held in strata.values()]
-            if lost and all(binomial_tail(k, n, rule_risk) <= level for k, n in lost):
-                out[name] = cutoff
-                break
+def needed(strata: int, risk: float = 0.02, error: float = 0.05) -> int:
+    """Good rows of a stratum that pass a test without one rejection; with fewer, no test can pass."""
+    return math.ceil(math.log(error / (len(RATIOS) * max(1, strata))) / math.log1p(-risk / len(RATIOS)))
+
+
+def proven(above: list[int], n: int, strata: int, risk: float = 0.02, error: float = 0.05) -> float | None:
+    """The lowest cutoff of one ratio that passes in a stratum of n good rows, of which above[k] are above GRID[k]."""
+    out = None
+    for cutoff, k in zip(reversed(GRID), reversed(above), strict=True):
+        if binomial_tail(k, n, risk / len(RATIOS)) > error / (len(RATIOS) * max(1, strata)):
+            break
+        out = cutoff
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        found = [counts(t) for t in texts]
-        rates = [ratios(t, c) for t, c in zip(texts, found, strict=True)]
-        failed = [base_failed(c[0], c[4]) for c in found]
-        arrays = [batch.column("lang"), batch.column("quality"), pa.array(failed, pa.bool_()), pa.array([list(r) for r in rates], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "quality", "failed", "ratios"])
+def cutoffs_of(cells: dict[str | None, Counter], strata: int, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
+    """The cutoff of each (stratum, ratio) that passes; cells counts a stratum's good rows by (ratio's number, cutoffs below it)."""
+    out: dict[tuple[str | None, str], float] = {}
+    for stratum, held in cells.items():
+        for i, name in enumerate(RATIOS):
+            levels = [held[i, k] for k in range(len(GRID) + 1)]
+            above = [sum(levels[k + 1 :]) for k in range(len(GRID))]
+            cutoff = proven(above, sum(levels), strata, risk, error)
+            if cutoff is not None:
+                out[stratum, name] = cutoff
+    return out
+
 
+def control(rows: list[tuple[str | None, int, tuple[float, ...]]], risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
+    """The cutoff of each (stratum, ratio) that passes, from labelled rows (stratum, quality, ratios) that the base rule keeps."""
+    cells: dict[str | None, Counter] = defaultdict(Counter)
+    for stratum, quality, values in rows:
+        if quality == 1:
+            cells[stratum].update((i, bisect_left(GRID, x)) for i, x in enumerate(values))
+    return cutoffs_of(cells, len(cells), risk, error)
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = 20_000, risk: float = 0.02, error: float = 0.05) -> dict[str, float]:
-    """Cutoffs from a bounded sample of labelled documents: at most `sample` labels, drawn by a hash of doc_id."""
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang and, for each ratio, the number of cutoffs below it, of every text that the base rule keeps."""
+    for batch in batches:
+        keep, levels = [], []
+        for part in windows(batch.column("text"), 8 << 20):
+            for text in part.to_pylist():
+                found = counts(text)
+                keep.append(not base_failed(found[0], found[4]))
+                if keep[-1]:
+                    levels.append([bisect_left(GRID, x) for x in ratios(text, found)])
+        held = batch.select(["doc_id", "lang"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*held.columns, pa.array(levels, pa.list_(pa.int8()))], names=["doc_id", "lang", "levels"])
+
+
+def learn(documents: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
+    """Cutoffs by (lang, ratio) from all labelled documents.
+
+    Texts become a few small numbers where they are read; only those meet the labels and are counted, so that the driver gets one row
+    for each language with enough good rows.
+    """
     spark = documents.sparkSession
     base.importable(spark)
     clear = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    clear = clear.agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).filter("quality = top").drop("top")
-    drawn = clear.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(sample)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(drawn), "doc_id")
-    found = rows.select("lang", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_features, "lang string, quality int, failed boolean, ratios array<double>")
-    # At most `sample` documents, but for repeated ids, which are cut alike.
-    kept = found.filter("not failed").select("lang", "quality", "ratios").limit(4 * sample).collect()
-    return control([(r["lang"], r["quality"], tuple(r["ratios"])) for r in kept], risk, error)
+    good = clear.agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).filter("quality = top and quality = 1").select("doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = rows.filter("doc_id is not null").mapInArrow(_features, "doc_id long, lang string, levels array<byte>")
+    cells = found.join(good, "doc_id").select("lang", F.posexplode("levels").alias("rule", "level")).groupBy("lang", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
+    of = cells.groupBy("lang").agg(F.collect_list(F.struct("rule", "level", "n")).alias("cells"), F.sum(F.expr("if(rule = 0, n, 0)")).alias("good"))
+    of = base.cut(of)
+    strata = of.count()
+    enough = of.filter(F.col("good") >= needed(strata, risk, error)).collect()
+    out = cutoffs_of({r["lang"]: Counter({(c["rule"], c["level"]): c["n"] for c in r["cells"]}) for r in enough}, strata, risk, error)
+    LOG.info("%d strata, %d of them with the %d good rows of a test: %s; cutoffs %s", strata, len(enough), needed(strata, risk, error), {r["lang"]: r["good"] for r in enough}, out)
+    return out
+
 
+def judge(documents: DataFrame, cutoffs: dict[tuple[str | None, str], float], keep: bool = False) -> DataFrame:
+    """The counts, base_failed and kept of every row: with doc_id alone, or after all columns of documents (`keep`).
 
-def judge(documents: DataFrame, cutoffs: dict[str, float], keep: bool = False) -> DataFrame:
-    """The counts, base_failed and kept of every row: with doc_id alone, or after all columns of documents (`keep`)."""
+    cutoffs are by (lang, ratio); a text of a language without any is judged by the base rule alone.
+    """
     spark = documents.sparkSession
     base.importable(spark)
-    tests = [(RATIOS.index(name), cutoff) for name, cutoff in cutoffs.items()]
+    tests: dict[str | None, list[tuple[int, float]]] = defaultdict(list)
+    for (lang, name), cutoff in cutoffs.items():
+        tests[lang].append((RATIOS.index(name), cutoff))
+    tests = dict(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in COUNTS]
             failed, kept = [], []
+            langs = iter(batch.column("_lang").to_pylist())
             for part in windows(batch.column("text" if keep else "_text"), 8 << 20):
                 for text in part.to_pylist():
                     found = counts(text)
@@ -166,19 +207,23 @@ def judge(documents: DataFrame, cutoffs: dict[str, float], keep: bool = False) -
                         column.append(value)
                     bad = base_failed(found[0], found[4])
                     failed.append(bad)
-                    if not bad and tests:
+                    own = tests.get(next(langs))
+                    if not bad and own:
                         rate = ratios(text, found)
-                        bad = any(rate[i] > cutoff for i, cutoff in tests)
+                        bad = any(rate[i] > cutoff for i, cutoff in own)
                     kept.append(not bad)
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = [n for n in batch.schema.names if n not in ("_text", "_lang")]
             arrays = [*(batch.column(n) for n in names), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *COUNTS, "base_failed", "kept"])
 
-    rows = documents if keep else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    rows = documents if keep else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), "lang")
+    rows = rows.withColumn("_lang", F.col("lang").cast("string"))
+    if not keep:
+        rows = rows.drop("lang")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_lang"))
     return rows.mapInArrow(run, f"{fields}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, sample: int = 20_000, risk: float = 0.02) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = 0.02) -> DataFrame:
     """doc_id, the counts, base_failed, kept for every row of documents (doc_id, text, lang)."""
-    return judge(documents, learn(documents, labels, sample, risk))
+    return judge(documents, learn(documents, labels, risk))

@@ -209,6 +209,20 @@ def test_cutoffs_keep_the_risk():
     assert quality.control(rows[:20]) == {}
 
 
+def test_small_strata_do_not_switch_the_rules_off(spark):
+    rows = [("en", 1, (0.0,) * 5)] * 5000 + [("es", 1, (0.0,) * 5)] * 300
+    assert quality.control(rows) == {("en", name): quality.GRID[0] for name in quality.RATIOS}
+
+    clean, loud = " ".join(f"word{i}" for i in range(30)), " ".join(f"WORD{i}" for i in range(30))
+    texts = [(i, clean, "en") for i in range(2000)] + [(2000 + i, clean, "es") for i in range(100)] + [(3000, loud, "en"), (3001, loud, "es"), (3002, loud, None), (3003, "few", "en")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2100)] + [(0, 1)], "doc_id long, quality int")
+    found = quality.learn(frame, labels)
+    assert set(found) == {("en", name) for name in quality.RATIOS}
+    gone = {r["doc_id"] for r in quality.quality_rules(frame, labels).filter("not kept").collect()}
+    assert gone == {3000, 3003}
+
+
 def test_fingerprints_of_edited_texts(docs):
     rows = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0], r[1]))
     want = Counter()
