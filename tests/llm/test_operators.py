@@ -223,6 +223,16 @@ def test_small_strata_do_not_switch_the_rules_off(spark):
     assert gone == {3000, 3003}
 
 
+def test_a_minority_language_is_not_judged_by_a_pool(spark):
+    clean, loud = " ".join(f"word{i}" for i in range(30)), " ".join(f"WORD{i}" for i in range(30))
+    # Two of the 50 good es texts, 4 %, are loud: far above the risk for es, far below it among all.
+    texts = [(i, loud if i >= 4448 else clean, "en" if i < 2200 else "fr" if i < 4400 else "es") for i in range(4450)]
+    frame = spark.createDataFrame([*texts, (5000, loud, "en"), (5001, loud, "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(4450)], "doc_id long, quality int")
+    gone = {r["doc_id"] for r in quality.quality_rules(frame, labels).filter("not kept").collect()}
+    assert gone == {5000, 5001}
+
+
 def test_fingerprints_of_edited_texts(docs):
     rows = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0], r[1]))
     want = Counter()
