@@ -5,7 +5,8 @@ navigation, adverts, notices, forms, scripts and the like is not. Every other bl
 paired with the page of its host whose URL path is nearest (longest common start among its two neighbours in path order); both
 pages' lines are aligned by a longest common subsequence, and shared undecided lines go as template. Shared lines inside
 <article> stay: copies of an article on one site would otherwise erase each other. When a page has an article, undecided blocks
-outside it are dropped without a comparison; a page whose lines nearly all recur in its pair is a copy, and keeps them.
+outside it are dropped without a comparison. Shared lines go whatever their share of the page; only a page none of whose undecided
+lines differs from its pair is a copy, and keeps them all.
 
 Nulls: null html gives an empty text; a null url has no host, pairs with nothing, and keeps its undecided blocks.
 Repeated pages, empty tables and very long pages need no special care; other columns of the input are ignored.
@@ -180,15 +181,14 @@ def shared(mine: list, other: list) -> set[int]:
     return found
 
 
-def decide(page: list[tuple[int, str]], other: list[str] | None, copy_share: float = 0.8) -> str:
+def decide(page: list[tuple[int, str]], other: list[str] | None) -> str:
     """The page's text, given the lines of its pair (None: it has none)."""
     if any(kind == TEXT for kind, _ in page):
         return "\n\n".join(text for kind, text in page if kind == TEXT)
     lines = [text for _, text in page]
     gone = shared(lines, other) if other else set()
-    open_size = sum(len(text) for kind, text in page if kind == UNDECIDED)
-    if sum(len(lines[i]) for i in gone if page[i][0] == UNDECIDED) > copy_share * open_size:
-        gone = set()
+    if all(i in gone for i, (kind, _) in enumerate(page) if kind == UNDECIDED):
+        gone = set()  # a copy
     return "\n\n".join(text for i, (kind, text) in enumerate(page) if kind == UNDECIDED and i not in gone)
 
 

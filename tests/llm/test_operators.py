@@ -54,6 +54,14 @@ def test_pages_without_an_article_lose_lines_that_their_neighbour_has(spark):
     assert found == {1: "One & only text", 2: "Other text", 3: "alone\n\nhere", 4: "no url", 5: "", 6: "T\n\na b"}
 
 
+def test_large_templates_go_and_copies_stay(spark):
+    menu = "".join(f"<div>Section {i} of this large site</div>" for i in range(25))
+    rows = [(i, f"http://h.x/a/{i}", f"<body>{menu}<p>Own text of page {i} stands here.</p></body>") for i in (1, 2)]
+    rows += [(i, f"http://copies.x/a/{i}", "<body><p>The same text.</p><p>And more of it.</p></body>") for i in (3, 4)]
+    found = {r["page_id"]: r["text"] for r in html_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "Own text of page 1 stands here.", 2: "Own text of page 2 stands here."} | dict.fromkeys((3, 4), "The same text.\n\nAnd more of it.")
+
+
 def test_articles_of_the_test_pages(spark):
     from html import unescape
 
