@@ -13,7 +13,8 @@ moved to the bucket, where the exact Jaccard decides. Links become classes by st
 
 Sets are named by 64 bits of their hash. Words are runs of other characters than ASCII white space, as they stand. A text of
 one to four words is one shingle; a text without words, or null, links with nothing. Documents with one doc_id and different
-texts link as any others do; a null doc_id is carried along and never names a class. Empty tables give no rows; other columns are ignored.
+texts link as any others do; a null doc_id links as any other, is carried along and never names a class. A row is told by its doc_id and
+a hash of its text. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,6 +100,11 @@ def _listed(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _row():
+    """What tells rows of documents apart, beside their doc_id: a hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _sketches(runs: int):
     seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -116,8 +122,8 @@ def _sketches(runs: int):
                 names.append(int(np.uint64(xxh3_64_intdigest(tokens.tobytes())).view(np.int64)) if len(tokens) else None)
                 sizes.append(len(tokens)), one.append(a), parents.append(b), two.append(c)
                 low.append(tokens[:SKETCH])
-            arrays = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), *map(_listed, (one, parents, two, low))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set", "n", "one", "parents", "two", "low"])
+            arrays = [batch.column("doc_id"), batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), *map(_listed, (one, parents, two, low))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "set", "n", "one", "parents", "two", "low"])
 
     return run
 
@@ -216,7 +222,7 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, packed = [], []
         for name, text in zip(batch.column("set").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = shingles(text).tobytes()
-            same = int(np.uint64(xxh3_64_intdigest(data)).view(np.int64)) == name  # documents may share a doc_id
+            same = int(np.uint64(xxh3_64_intdigest(data)).view(np.int64)) == name  # a safeguard: rows are told by hashes
             keep.append(same)
             packed.append(data if same else b"")
         columns = [n for n in batch.schema.names if n != "text"]
@@ -283,20 +289,19 @@ def components(edges: DataFrame) -> DataFrame:
         now = base.cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_duplicates(documents: DataFrame, target: float = TARGET) -> DataFrame:
-    """doc_id, class_id, n_links for every row of documents (doc_id long, text string).
+def _classes(documents: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, set) of every row of documents, set null for a text without words; (set, copies, class_id, n_links, first).
 
-    class_id is the least doc_id of the documents connected by links of Jaccard 0.8 or more; n_links is how many other
-    documents one links with, copies counted one by one.
+    `first` is one row (lost, doc_id, row) of the whole class: the least doc_id, or null where no row has one (`lost`).
     """
     spark = documents.sparkSession
     base.importable(spark)
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, set long, n int, one array<long>, parents array<long>, two array<long>, low array<long>"
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row().alias("row"))
+    schema = "doc_id long, row long, set long, n int, one array<long>, parents array<long>, two array<long>, low array<long>"
     found = base.cut(documents.mapInArrow(_sketches(runs_for(target)), schema))
-    members = found.select("doc_id", "set")
+    members = found.select("doc_id", "row", "set")
     about = {c: F.any_value(c).alias(c) for c in ("n", "one", "parents", "two", "low")}
-    sets = found.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *about.values())
+    sets = found.filter("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), *about.values())
     sets = base.cut(sets)
 
     first = sets.select("set", F.explode("one").alias("path"))
@@ -320,8 +325,12 @@ def near_duplicates(documents: DataFrame, target: float = TARGET) -> DataFrame:
     wanted = entries.repartition(n, *bucket).sortWithinPartitions(*bucket).mapInArrow(_wanted, "path long, left int, right int, part int, set long")
     wanted = base.cut(wanted.groupBy("set").agg(F.collect_list(F.struct(*bucket, "part")).alias("at")))
 
-    heads = wanted.join(about.drop("at"), "set").withColumnRenamed("rep", "doc_id")
-    texts = documents.join(heads, "doc_id")
+    heads = wanted.join(about.drop("at"), "set").select("*", "rep.doc_id", "rep.row").drop("rep")
+    texts = documents.join(heads, ["doc_id", "row"])
+    if not sets.filter("rep.lost").isEmpty():
+        # Sets of which no row has an id: one of their equal texts each.
+        lost = documents.filter("doc_id is null").groupBy("row").agg(F.any_value("text").alias("text"))
+        texts = texts.unionByName(lost.join(heads.filter("doc_id is null"), "row"))
     fields = "doc_id long, set long, at array<struct<path:long,left:int,right:int,part:int>>, copies long, n int, low array<long>, leaves array<long>"
     read = texts.select("doc_id", "set", "at", "copies", "n", "low", "leaves", "text").mapInArrow(_read_sets, f"{fields}, tokens binary")
     sent = read.withColumn("l", F.explode("at")).select("l.path", "l.left", "l.right", "l.part", "set", "copies", "n", "low", "leaves", "tokens")
@@ -330,21 +339,36 @@ def near_duplicates(documents: DataFrame, target: float = TARGET) -> DataFrame:
     roots = components(made.filter("b is not null").select("a", "b"))
     links = made.filter("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     named = sets.select("set", "rep", "copies").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = named.groupBy("root").agg(F.min("rep").alias("first"))
     named = named.join(classes, "root").join(links, "set", "left")
-    named = base.cut(named.select("set", "copies", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    named = base.cut(named.select("set", "copies", "first", F.col("first.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return members, named
+
+
+def near_duplicates(documents: DataFrame, target: float = TARGET) -> DataFrame:
+    """doc_id, class_id, n_links for every row of documents (doc_id long, text string).
+
+    class_id is the least doc_id of the documents connected by links of Jaccard 0.8 or more; n_links is how many other
+    documents one links with, copies counted one by one.
+    """
+    members, named = _classes(documents, target)
+    members, named = members.drop("row"), named.drop("first")
     out = base.attach(members.filter("set is not null"), "set", named, "copies").select("doc_id", "class_id", "n_links")
     alone = members.filter("set is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without those that are not the first of their class; one of rows that share an id stays, rows without an id stay."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(documents)
-    heads = found.filter("doc_id = class_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = documents.join(heads, F.col("doc_id").cast("long") == F.col("_head"))
-    turn = F.row_number().over(Window.partitionBy("_head").orderBy("text"))
-    kept = kept.withColumn("_turn", turn).filter("_turn = 1").select(*documents.columns)
-    return kept.unionByName(documents.filter("doc_id is null"))
+    """One row of each class of documents, the one of the least doc_id, whatever other rows share that id.
+
+    Texts without words stay, but for rows with the same doc_id and text; of these, and of such rows in a class, one stays. Rows
+    without an id are near copies like any others, and those without words all stay.
+    """
+    members, named = _classes(documents)
+    heads = named.select("first.doc_id", "first.row").unionByName(members.filter("set is null and doc_id is not null").select("doc_id", "row"))
+    # Ids and rows that no null hides, so that both can be joined and grouped on.
+    heads = heads.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("row").alias("_row")).distinct()
+    rows = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_row": _row()})
+    kept = rows.join(heads, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*documents.columns)
+    wordless = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{base.WS}]", "")) == 0
+    return kept.unionByName(documents.filter(F.col("doc_id").isNull() & wordless))

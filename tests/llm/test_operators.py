@@ -129,6 +129,24 @@ def test_near_duplicates_match_all_pairs(docs):
     assert Counter(map(tuple, chosen_path.near_duplicates(docs).collect())) == want
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "abcd"}
+    a, b, c, d = (" ".join(words[k]) for k in "abcd")
+    near = {k: " ".join([*words[k][:59], "other"]) for k in "abcd"}
+    # Id 5 stands in the class of 3 and for two classes of its own; c has no ids; the two ends of d's chain meet by a row without one.
+    bridge = " ".join([*words["d"][4:], "d60", "d61", "d62", "d63"])
+    far = " ".join([*words["d"][8:], *(f"d{i}" for i in range(60, 68))])
+    rows = [(3, a), (5, near["a"]), (5, b), (5, near["b"]), (None, c), (None, c), (None, near["c"]), (7, d), (None, bridge), (9, far), (11, ""), (11, ""), (None, " "), (None, " "), (11, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, chosen_path.near_duplicates(frame).collect()))
+    assert found == Counter([(3, 3, 1), (5, 3, 1), (5, 5, 1), (5, 5, 1), (None, None, 2), (None, None, 2), (None, None, 2), (7, 7, 1), (None, 7, 2), (9, 7, 1), (11, 11, 0), (11, 11, 0),
+                             (None, None, 0), (None, None, 0), (11, 11, 0)])
+    kept = [tuple(r) for r in chosen_path.keep_one(frame).collect()]
+    of = lambda texts: [r for r in kept if r[1] in texts]
+    assert of({a, near["a"]}) == [(3, a)] and [r[0] for r in of({b, near["b"]})] == [5] and [r[0] for r in of({c, near["c"]})] == [None]
+    assert of({d, bridge, far}) == [(7, d)] and Counter(of({"", " ", "z"})) == Counter([(11, ""), (None, " "), (None, " "), (11, "z")]) and len(kept) == 8
+
+
 def test_large_buckets_compare_in_blocks(spark, monkeypatch):
     draw = random.Random(3)
     words = [f"w{i}" for i in range(60)]
