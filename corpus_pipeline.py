@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Hashing, learned models and exact set joins have no DuckDB form here; tests/llm compares the run with a brute-force version.
+#: Hashing, learned models and exact set joins have no DuckDB form here; tests/llm checks the stages one by one, but no run as a whole against brute force.
 ORACLE_SQL = None
 
 
