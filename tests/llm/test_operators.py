@@ -318,3 +318,32 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
             assert len(labels & before - left) <= 0.1 * len(labels & before)
         docs = found
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_sketches_and_levels_of_the_join(spark):
+    import math
+
+    import numpy as np
+
+    # A pair of likeness 0.8 shares each of its 16 least hashes with 0.8 or more: 4 or fewer shared ones fail the sketch.
+    assert sum(math.comb(16, k) * 0.8**k * 0.2 ** (16 - k) for k in range(5)) < 4e-6
+    # Two samples that share 57 of 64 meet below one parent in about 57 / 32 children.
+    draw = np.random.default_rng(3)
+    meet = 0
+    for _ in range(200):
+        both = draw.integers(0, 2**63, 71, dtype=np.uint64)
+        a, b = both[:64], both[7:]
+        parent = (draw.integers(0, 2**63, 1, dtype=np.uint64), np.array([0, 1]))
+        found = [set(chosen_path.children((x, np.array([0, 64])), parent)[1].tolist()) for x in (a, b)]
+        meet += len(found[0] & found[1])
+    assert 1.5 < meet / 200 < 2.1
+
+
+def test_common_passages_split_over_levels(spark):
+    """Texts that share a long passage and nothing else go down several levels; near copies among them are all found."""
+    draw = random.Random(8)
+    shared = [f"common{i}" for i in range(60)]
+    rows = [(i, " ".join([*shared, *(f"own{i}x{k}" for k in range(90))])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*rows[i][1].split()[:-2], "other", f"end{draw.randint(0, 9)}"])) for i in range(40)]
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == found[1000 + i] == (i, 1) for i in range(40)) and all(found[i] == (i, 0) for i in range(40, 300))
