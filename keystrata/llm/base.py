@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import tempfile
 from pathlib import Path
@@ -54,27 +56,45 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(bare, f"[^{WS}]++[{WS}]*+", "x")).cast("long")
 
 
-def block_bounds(df: DataFrame, key: str, rows_per_block: int, most: int = 4096) -> list:
-    """Ascending cut points that deal the values of a numeric key into blocks of about `rows_per_block` rows (at most `most`)."""
-    rows = df.agg(F.count(key)).first()[0]
-    n = max(1, min(most, -(-rows // rows_per_block)))
-    if n == 1:
-        return []
-    shares = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(key, shares, 20 * n).alias("b")).first()["b"]
-    return sorted(set(found or []))
+SUBS = 1024
 
 
-def block_of(key: Column, bounds: list) -> Column:
-    """How many bounds are at or below the key, as a balanced tree of comparisons; null keys go to block 0."""
+class Deal:
+    """Deals rows into blocks of about `rows_per_block` rows by a key of whole numbers, in the key's order, nulls first.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    Blocks number at most the square root of the rows, so that a table with a row for each block stays small against any task
+    while a block grows with the root alone. A key (or null) that holds more than a block's share is a range by itself and is split further
+    by a tie-breaking number from 0 to SUBS - 1; the order of rows is then (key, that number, ...).
+    """
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    def __init__(self, df: DataFrame, key: str, rows_per_block: int):
+        rows, held = df.agg(F.count(F.lit(1)), F.count(key)).first()
+        n = max(1, min(-(-held // rows_per_block), math.isqrt(held)))
+        found: list[int] = []
+        if n > 1:
+            found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("b")).first()["b"] or []
+        self.hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+        self.hot_null = rows - held > max(rows_per_block, rows // n if n > 1 else 0)
+        self.bounds = sorted({*found, *self.hot, *(v + 1 for v in self.hot)})
+
+    def block(self, key: Column, sub: Column) -> Column:
+        split = (key.isNull() & F.lit(self.hot_null)) | (F.coalesce(key.isin(self.hot), F.lit(False)) if self.hot else F.lit(False))
+        at = F.when(key.isNull(), 0).otherwise(block_of(key, self.bounds) + 1)
+        return (at * SUBS + F.when(split, sub).otherwise(0)).cast("long")
+
+
+def block_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at or below the key, a binary search; null keys go to block 0."""
+    if not bounds:
+        return F.lit(0)
+    if len(bounds) <= 16:
+        return F.coalesce(sum((key >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    found = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at)
+    )
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
 
 
 def running(df: DataFrame, group: list[str], block: str, order: list, totals: list[str], counted: DataFrame | None = None) -> DataFrame:

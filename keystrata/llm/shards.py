@@ -1,11 +1,11 @@
 """Contiguous shards of least largest size: minimax partition over ordered atomic groups, found by binary search.
 
 Equal texts form one group that no cut divides; null texts form a group too. Groups stand in the order of their first doc_id.
-The search keeps on the driver only the running sizes at block edges and, on demand, those inside one block (about
-`rows_per_block` groups, or a 4096th of all groups); everything else is DataFrame work over rows of a few numbers.
+The search keeps on the driver the running sizes at block edges and, on demand, those inside a few blocks; blocks are at most the
+square root of the groups in number, and so is the size of each beyond `rows_per_block`. Everything else is DataFrame work over rows of a few numbers.
 
-Nulls: a null text has size 1 and checksum 0; a null doc_id stands first. Repeated rows stay together as equal texts do. An empty
-table gives no rows. Fewer groups than shards leave shards empty. Other columns are ignored.
+Nulls: a null text has size 1 and checksum 0; a null doc_id stands first. Repeated rows stay together as equal texts do; of rows or groups
+with one doc_id the text's checksum decides the order, and an id that very many share is split into blocks by it. An empty table gives no rows. Fewer groups than shards leave shards empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import OrderedDict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import base
 
-HELD_BLOCKS = 64
+HELD_BLOCKS = 16
 
 
 class Ends:
@@ -28,12 +29,12 @@ class Ends:
         self.prefix = prefix
         rows = prefix.groupBy("block").agg(F.max("end").alias("end")).orderBy("block").collect()
         self.blocks, self.edges = [r["block"] for r in rows], [r["end"] for r in rows]
-        self.held: OrderedDict[int, list[int]] = OrderedDict()
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-    def inside(self, block: int) -> list[int]:
+    def inside(self, block: int) -> np.ndarray:
         if block not in self.held:
             found = self.prefix.filter(F.col("block") == F.lit(block)).select("end").collect()
-            self.held[block] = sorted(r["end"] for r in found)
+            self.held[block] = np.sort(np.fromiter((r["end"] for r in found), np.int64, len(found)))
             if len(self.held) > HELD_BLOCKS:
                 self.held.popitem(last=False)
         self.held.move_to_end(block)
@@ -44,8 +45,8 @@ class Ends:
         if i == len(self.edges):
             return self.edges[-1]
         ends = self.inside(self.blocks[i])
-        k = bisect_right(ends, target)
-        return ends[k - 1] if k else (self.edges[i - 1] if i else 0)
+        k = int(np.searchsorted(ends, target, "right"))
+        return int(ends[k - 1]) if k else (self.edges[i - 1] if i else 0)
 
 
 def cuts(ends: Ends, capacity: int, total: int, shards: int) -> list[int]:
@@ -80,16 +81,17 @@ def shard_documents(documents: DataFrame, shards: int = 8, rows_per_block: int =
             F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("key"),
         )
     )
-    bounds = base.block_bounds(rows, "doc_id", rows_per_block)
+    deal = base.Deal(rows, "doc_id", rows_per_block)
+    sub = F.expr("coalesce(cast(conv(hex(substring(key, 1, 2)), 16, 10) as int) div 64, 0)")
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    groups = groups.withColumn("block", base.block_of(F.col("first"), bounds))
+    groups = groups.withColumn("block", deal.block(F.col("first"), sub))
     order = [F.col("first").asc_nulls_first(), "key"]
     prefix = base.running(groups, [], "block", order, ["bytes"]).withColumn("end", F.col("before_bytes") + F.col("bytes"))
     prefix = base.cut(prefix.select("key", "n", "bytes", "block", "end"))
     whole = prefix.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("largest")).first()
     edges = least_cuts(Ends(prefix), whole["total"], whole["largest"], shards)[:-1] if whole["total"] else []
     placed = prefix.select("key", "n", base.block_of(F.col("end") - F.col("bytes"), edges).alias("shard"))
-    put = base.attach(rows, "key", placed, "n").withColumn("block", base.block_of(F.col("doc_id"), bounds))
+    put = base.attach(rows, "key", placed, "n").withColumn("block", deal.block(F.col("doc_id"), sub))
     out = base.running(put, ["shard"], "block", [F.col("doc_id").asc_nulls_first(), "key"], [])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),

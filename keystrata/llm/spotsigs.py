@@ -6,7 +6,7 @@ whole spot has one signature, its words as they stand. A fingerprint is the sort
 hexadecimal, joined by spaces, so equal texts have equal fingerprints.
 
 Nulls count as empty texts. Very long texts are scanned once, by possessive patterns that neither recurse nor look back. Ties
-in doc_id are ordered by text. An only document is followed by itself. Empty tables give no rows; other columns are ignored.
+in doc_id are ordered by a hash of the text, then by the text. An only document is followed by itself. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,21 +77,22 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame], rows_per_block: int = 500) -> DataFrame:
     """Rows (doc_id, text) with the columns that `derive` adds, and next_<c> for text and each of those: what the next row by
-    (doc_id, text) has, after the last row what the first has.
+    (doc_id, hash of the text, text) has, after the last row what the first has.
 
-    Rows move once: they are dealt into ranges of doc_id, and the last row of a range gets the first row of the next range
-    from a table with one row for each range.
+    Rows move once: they are dealt into ranges of doc_id, an id that very many share into ranges of the hash, and the last row of a
+    range gets the first row of the next range from a table with one row for each range.
     """
-    bounds = base.block_bounds(rows, "doc_id", rows_per_block)
-    rows = rows.withColumn("block", base.block_of(F.col("doc_id"), bounds))
-    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text"))["text"].alias("text"))
+    deal = base.Deal(rows, "doc_id", rows_per_block)
+    tie = F.expr("shiftrightunsigned(xxhash64(text), 1)")
+    rows = rows.withColumn("block", deal.block(F.col("doc_id"), F.shiftright(tie, 53).cast("int")))
+    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", tie, "text"))["text"].alias("text"))
     heads = derive(heads)
     carry = [c for c in heads.columns if c != "block"]
     heads = base.cut(heads.select("block", F.struct(*carry).alias("row")))
     line = Window.orderBy("block")  # one row for each range
     start = F.first("row").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     edges = base.cut(heads.select("block", F.coalesce(F.lead("row").over(line), start).alias("edge")))
-    here = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    here = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), tie, "text")
     led = derive(rows)
     led = led.withColumns({"after": F.lead("block").over(here)} | {f"next_{c}": F.lead(c).over(here) for c in carry}).join(edges, "block", "left")
     last = F.col("after").isNull()

@@ -347,3 +347,68 @@ def test_common_passages_split_over_levels(spark):
     rows += [(1000 + i, " ".join([*rows[i][1].split()[:-2], "other", f"end{draw.randint(0, 9)}"])) for i in range(40)]
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[i] == found[1000 + i] == (i, 1) for i in range(40)) and all(found[i] == (i, 0) for i in range(40, 300))
+
+
+def test_quotas_are_highest_quotients(spark):
+    """Each shard's quota, and all shards together, against seats handed out one by one."""
+    sizes = {"a": 900, "b": 40, "c": 3, "d": 5000, "e": 0, None: 77}
+    table = mixture.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    found = {r["place"]: r for r in mixture.quotas(table, 4, 60).collect()}
+    assert len(found) == 6 and abs(sum(r["target"] for r in found.values()) - sum(sizes.values())) < 1e-6
+    block = found[0]["block"]
+    seats = sum(sizes.values()) // (4 * block)
+    held = dict.fromkeys(found, 0)
+    for n in range(1, 4 * seats + 1):
+        best = max(found, key=lambda p: (found[p]["target"] / (2 * held[p] + 1), -p))
+        held[best] += 1
+        if n % seats == 0:
+            assert {p: r["upto"][n // seats - 1] for p, r in found.items()} == held
+    assert all(r["words"] == min(r["cap"], held[p] * block) for p, r in found.items())
+
+
+def test_blocks_of_hot_and_null_ids(spark):
+    """An id, or null, that holds most rows is split into several blocks, in the order of (id, tie)."""
+    rows = [(None, f"n{i}") for i in range(900)] + [(7, f"t{i}") for i in range(900)] + [(i, "x") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    deal = base.Deal(frame, "doc_id", 60)
+    sub = F.pmod(F.xxhash64("text"), F.lit(base.SUBS)).cast("int")
+    dealt = frame.withColumns({"sub": sub, "block": deal.block(F.col("doc_id"), sub)})
+    per = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r["n"] for r in per) <= 120
+    listed = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["sub"]), r["block"]) for r in dealt.collect())
+    assert all(a[1] <= b[1] for a, b in itertools.pairwise(listed) if a[0][:2] == b[0][:2] or a[0][:2] < b[0][:2])
+    n_blocks = shards.shard_documents(frame, 8, 60).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("top")).collect()
+    assert all(r["top"] == r["n"] - 1 for r in n_blocks) and sum(r["n"] for r in n_blocks) == len(rows)
+    bounds = list(range(0, 400, 5))
+    found = spark.range(-3, 450).select("id", base.block_of(F.col("id"), bounds).alias("b")).collect()
+    assert all(r["b"] == sum(x <= r["id"] for x in bounds) for r in found)
+
+
+def test_spot_signatures_against_an_independent_reading(spark, docs):
+    """Sets of spots read word by word in Python; the likeness to the next row; only the hashes' names are the engine's."""
+    anchors = set(spotsigs.ANCHORS)
+
+    def spots(text):
+        import regex
+
+        words = regex.findall(r"[\p{L}\p{N}\p{M}]+", text.lower())
+        out = set()
+        for i, w in enumerate(words):
+            if w in anchors and i + 1 < len(words) and words[i + 1] not in anchors:
+                content = [x for x in words[i + 1 :] if x not in anchors][:2]
+                if len(content) == 2:
+                    out.add(" ".join([w, *content]))
+        return frozenset(out) or frozenset(["whole " + " ".join(words)])
+
+    plain = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    rows = sorted((r["doc_id"], r["text"]) for r in plain.collect())
+    found = {r["doc_id"]: r for r in spotsigs.fingerprints(plain).collect()}
+    names = sorted({s for _, t in rows for s in spots(t)})
+    hashed = spark.createDataFrame([(s,) for s in names], "s string")
+    hashes = {r["s"]: r["h"] for r in hashed.select("s", F.lower(F.lpad(F.hex(F.expr("if(s like 'whole %', xxhash64('whole', substring(s, 7)), xxhash64(s))")), 16, "0")).alias("h")).collect()}
+    wrong = 0
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+        a, b = spots(t), spots(n)
+        wrong += set(found[i]["fingerprint"].split()) != {hashes[s] for s in a}
+        assert abs(found[i]["near_next"] - len(a & b) / len(a | b)) < 1e-12
+    assert wrong == 0
