@@ -2,22 +2,24 @@
 
 Subwords are the 3- and 4-grams of the UTF-8 bytes of lower-case words in blanks (other signs count as blanks). A text's
 vector is the mean of its subwords' embeddings; embeddings and the softmax layer are trained together in numpy on a bounded
-sample of labelled texts, part of which calibrates the softmax temperature and the score under which a document is rejected. For
+sample of labelled texts; others of it calibrate the softmax temperature and the score under which a document is rejected: the k-th
+lowest score of rightly told texts for k = floor((n + 1) * false_rejection), so that a further text of the learned languages is rejected with
+at most that chance. With fewer than 1 / false_rejection such texts no score can promise that, and only texts without a letter are rejected. For
 prediction embedding and layer are multiplied into one table, so that every whole text costs one look-up for each subword.
 
-Nulls: a null text, or one without a letter, gets `und`, score 0 and is not rejected for its score but as `und`; rows with a
+Every language that occurs is learned. Nulls: a null text, or one without a letter (Unicode class L), gets `und`, score 0 and is not rejected for its score but as `und`; rows with a
 null lang are predicted and never learned from. Ties go to the first language by code point. Without a labelled row everything
 is `und`. Repeated rows are predicted alike; very long texts are read in pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from keystrata.llm import base
 from keystrata.llm.token_counts import windows
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 PIECE = 1 << 20
 #: Bytes whose subwords are looked up at once.
 AT_ONCE = 1 << 18
@@ -113,16 +115,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(
     texts: list[bytes], labels: list[str], buckets: int = 1 << 15, width: int = 12, epochs: int = 6, rate: float = 0.5, seed: int = 5,
-    calibrate: float = 0.2, false_rejection: float = 0.001,
+    sample: int = 4000, false_rejection: float = 0.001,
 ) -> Model | None:
-    """A model of the labelled texts; None without any. The last fifth (in drawn order) calibrates it."""
+    """A model of at most `sample` of the labelled texts; None without any. The others, a fifth at least, calibrate it."""
     langs = sorted(set(labels))
     if not langs:
         return None
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(texts))
-    held = order[len(order) - int(len(order) * calibrate) :] if len(order) >= 50 else order
-    learned = order[: len(order) - int(len(order) * calibrate)] if len(order) >= 50 else order
+    cut = min(sample, len(order) - len(order) // 5) if len(order) >= 50 else len(order)
+    learned, held = order[:cut], order[cut:] if len(order) >= 50 else order
     y = np.array([langs.index(x) for x in labels])
     bags = {}
     for i in learned:
@@ -149,8 +151,8 @@ def train(
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    # The score under which at most the given share of rightly labelled texts falls, with a margin of one half.
-    model.reject = 0.5 * float(right[int(len(right) * false_rejection)]) if len(right) else 0.0
+    rank = int((len(right) + 1) * false_rejection)
+    model.reject = float(right[rank - 1]) if rank else 0.0
     return model
 
 
@@ -158,29 +160,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(documents: DataFrame, sample: int = 4000, chars: int = 3000) -> Model | None:
-    """A model from at most `sample` labelled rows outside the held-out part, drawn by a hash of doc_id.
+def learn(documents: DataFrame, sample: int = 4000, calibrate: int = 4000, chars: int = 3000, least: int = 20, few: int = 10_000) -> Model | None:
+    """A model from about `sample` labelled rows outside the held-out part, calibrated on about `calibrate` more, drawn by a hash of doc_id.
 
-    Every language gets an equal share of the sample; of each drawn text at most `chars` characters around its middle are
-    learned from. Both are bounds on the training sample alone. Rows of one language with the same text count once.
+    Every language gets an equal share of both, `least` rows at least; of each drawn text at most `chars` characters around its middle are
+    learned from. These are bounds on the labelled rows alone. Rows of one language with the same text count once. One pass counts the
+    languages and one draws their rows; up to `few` languages are broadcast to it, more are joined.
     """
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    per = base.cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = per.count()
     if not langs:
         return None
-    each = max(20, sample // len(langs))
+    each = max(least, (sample + calibrate) // langs)
     draw = F.xxhash64(F.lit(23), "doc_id")
-    parts = None
-    for r in langs:
-        # A hash range with about twice the rows wanted, then exactly the lowest of them.
-        most = min(1.0, 2.0 * each / r["count"] + 20 / r["count"])
-        part = rows.filter((F.col("lang") == F.lit(r["lang"])) & (F.pmod(draw, F.lit(1_000_003)) < int(most * 1_000_003) + 1))
-        parts = part if parts is None else parts.unionByName(part)
+    # A hash range with about twice the rows wanted, then exactly the lowest of them.
+    upto = F.floor(F.least(F.lit(1.0), (2.0 * each + 20) / F.col("n")) * 1_000_003) + 1
+    per = per.select("lang", upto.alias("upto"))
     start = F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int"))
-    ranked = parts.select("lang", draw.alias("draw"), F.substring("text", start, F.lit(chars)).alias("text"))
-    ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("turn") <= each)
+    rows = rows.select("lang", draw.alias("draw"), "text").join(F.broadcast(per) if langs <= few else per, "lang")
+    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < F.col("upto")).select("lang", "draw", F.substring("text", start, F.lit(chars)).alias("text"))
+    ranked = drawn.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("turn") <= each)
     found = ranked.select("lang", "text").distinct().orderBy("lang", "text").collect()
-    return train([r["text"].encode() for r in found], [r["lang"] for r in found])
+    return train([r["text"].encode("utf-8", "replace") for r in found], [r["lang"] for r in found], sample=sample)
 
 
 def predict(documents: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
@@ -226,6 +228,6 @@ def judge(texts: list[str | None], model: Model | None) -> tuple[list[str], list
     return names, scores, bad
 
 
-def identify(documents: DataFrame, sample: int = 4000) -> DataFrame:
+def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of documents (doc_id, text, lang)."""
-    return predict(documents, learn(documents, sample))
+    return predict(documents, learn(documents))

@@ -412,3 +412,67 @@ def test_spot_signatures_against_an_independent_reading(spark, docs):
         wrong += set(found[i]["fingerprint"].split()) != {hashes[s] for s in a}
         assert abs(found[i]["near_next"] - len(a & b) / len(a | b)) < 1e-12
     assert wrong == 0
+
+
+def _plain_scores(text, model):
+    """Scores of one text, gram by gram, by the stated hashes."""
+    import math
+
+    data = text.encode("utf-8", "replace")
+    raw = [32] + [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in data] + [32]
+    raw = [b + 32 if i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97 else b for i, b in enumerate(raw)]
+    bits, sums, n = len(model.table).bit_length() - 1, [0.0] * len(model.langs), 0
+    for i in range(len(raw) - 2):
+        if raw[i + 1] != 32:
+            three, codes = raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2], []
+            codes.append(three * 2654435761 % 2**32 >> 32 - bits)
+            if i + 3 < len(raw) and raw[i + 2] != 32:
+                four = ((three ^ 0x5BD1E995) * 2246822519 + raw[i + 3] * 3266489917) % 2**32
+                codes.append((four ^ four >> 15) * 2654435761 % 2**32 >> 32 - bits)
+            for c in codes:
+                n += 1
+                sums = [s + w for s, w in zip(sums, model.table[c], strict=True)]
+    z = [(s / max(1, n) + b) / model.temperature for s, b in zip(sums, model.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_languages_of_odd_texts_against_brute_force(spark, docs):
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", 1, 1, 2) for i, t in enumerate(["²", "½ ① 3", "x²", "_ 12", "the " * 90_000 + "und der"])], docs.schema)
+    rows = docs.unionByName(extra)
+    model = langid.learn(rows)
+    found = langid.predict(rows, model)
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"] and found.count() == rows.count()
+    import binascii
+
+    texts_of = defaultdict(list)
+    for r in rows.select("doc_id", "text").collect():
+        texts_of[r["doc_id"]].append(r["text"])
+    for r in found.collect():
+        assert r["held_out"] == (r["doc_id"] is not None and binascii.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        for text in texts_of[r["doc_id"]] if len(texts_of[r["doc_id"]]) == 1 else []:
+            if not text or not any(c.isalpha() for c in text):
+                assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            elif len(text) < 3000:
+                p = _plain_scores(text, model)
+                assert abs(r["score"] - max(p)) < 1e-9 and p[model.langs.index(r["lang_pred"])] > max(p) - 1e-9
+    kept = langid.predict(rows, model, keep=True)
+    assert kept.columns == [*rows.columns, "held_out", "lang_pred", "score", "rejected"]
+
+
+def test_many_languages_are_learned_and_rejection_is_calibrated(spark):
+    draw = random.Random(4)
+    alphabets = ["".join(draw.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(230)]
+    text = lambda a: " ".join("".join(draw.choices(a, k=5)) for _ in range(40))
+    rows = [(i, text(alphabets[i % 230]), f"l{i % 230:03d}") for i in range(230 * 12)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 230
+    # Two learned languages, 1000 rows each to calibrate: at most a share of 0.01 of right texts falls below, foreign ones mostly do.
+    a, b, c = "abcdefg", "hijklmn", "opqrstu"
+    known = [(text(x), n) for x, n in ((a, "a"), (b, "b")) for _ in range(1500)]
+    made = langid.train([t.encode() for t, _ in known], [n for _, n in known], sample=1000, epochs=2, false_rejection=0.01)
+    fresh = langid.judge([text(a) for _ in range(300)] + [text(b) for _ in range(300)], made)
+    assert made.reject > 0.5 and sum(fresh[2]) <= 0.03 * 600
+    mixture_of_both = [text(a[:3] + c) for _ in range(100)] + [text(c) for _ in range(100)]
+    assert sum(langid.judge(mixture_of_both, made)[2]) >= 150
+    assert langid.train([t.encode() for t, _ in known[:90]], [n for _, n in known[:90]]).reject == 0.0
