@@ -92,25 +92,31 @@ class Counter:
         return out
 
 
+def utf8_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def grouped(pieces: list[str], size: int) -> Iterator[str]:
-    """Joins neighbouring pieces to about `size` characters."""
+    """Joins neighbouring pieces to about `size` bytes."""
     start, held = 0, 0
     for i, piece in enumerate(pieces):
-        if held and held + len(piece) > size:
+        own = utf8_bytes(piece)
+        if held and held + own > size:
             yield "".join(pieces[start:i])
             start, held = i, 0
-        held += len(piece)
+        held += own
     yield "".join(pieces[start:])
 
 
 def balanced(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Consecutive batches of about `size` characters; a longer text is a batch of its own."""
+    """Consecutive batches of about `size` bytes; a longer text is a batch of its own."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > size:
+        own = utf8_bytes(text)
+        if held and held + own > size:
             yield texts[start:i]
             start, held = i, 0
-        held += len(text) + 1
+        held += own + 1
     if start < len(texts):
         yield texts[start:]
 
@@ -122,17 +128,27 @@ def counter(path: str) -> Counter:
     return _state[path]
 
 
-def windows(column: pa.Array, most: int) -> Iterator[pa.Array]:
-    """Slices of a string column of about `most` bytes each, a longer text alone."""
+def spans(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts of a string column of about `most` bytes each, a longer text alone."""
     sizes = np.array(pc.fill_null(pc.binary_length(column), 0))
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if held and held + size > most:
-            yield column.slice(start, i - start)
+            yield start, i - start
             start, held = i, 0
         held += size
     if start < len(column):
-        yield column.slice(start)
+        yield start, len(column) - start
+
+
+def windows(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of a string column of about `most` bytes each."""
+    return (column.slice(start, n) for start, n in spans(column, most))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of a string column each."""
+    return (batch.slice(start, n) for start, n in spans(batch.column(column), most))
 
 
 def count_tokens(documents: DataFrame, path: str, limit: int = 1024, window_bytes: int = 8 << 20) -> DataFrame:

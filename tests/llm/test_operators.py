@@ -41,9 +41,10 @@ def test_shared_lines_are_a_longest_common_subsequence():
     draw = random.Random(1)
     for _ in range(500):
         a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 12))] for _ in range(2))
-        found = html_diff.shared(a, b)
-        rest = iter(b)
-        assert len(found) == length(a, b) and all(a[i] in rest for i in sorted(found))
+        for most in (1 << 27, 9):  # whole, and divided
+            found = html_diff.shared(a, b, most)
+            rest = iter(b)
+            assert len(found) == length(a, b) and all(a[i] in rest for i in sorted(found))
 
 
 def test_pages_without_an_article_lose_lines_that_their_neighbour_has(spark):
@@ -476,3 +477,89 @@ def test_many_languages_are_learned_and_rejection_is_calibrated(spark):
     mixture_of_both = [text(a[:3] + c) for _ in range(100)] + [text(c) for _ in range(100)]
     assert sum(langid.judge(mixture_of_both, made)[2]) >= 150
     assert langid.train([t.encode() for t, _ in known[:90]], [n for _, n in known[:90]]).reject == 0.0
+
+
+def _texts_of(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, `text` string, lines int")
+    return {r["page_id"]: r["text"] for r in html_diff.main_text(frame).collect()}
+
+
+def test_the_comparison_decides_beside_articles_too(spark):
+    page = "<div>Top of the site</div><div>{0}</div><article><h1>{1}</h1><p>Same words in both.</p></article><div>Bottom of the site</div>"
+    rows = [(1, "http://h.x/a/1", page.format("Lead of one", "One")), (2, "http://h.x/a/2", page.format("Lead of two", "Two")),
+            (3, "http://solo.x/", page.format("Lead of three", "Three"))]
+    assert _texts_of(spark, rows) == {1: "Lead of one\n\nOne\n\nSame words in both.", 2: "Lead of two\n\nTwo\n\nSame words in both.",
+                                      3: "Three\n\nSame words in both."}
+
+
+def test_class_words_inside_articles_lose_no_text(spark):
+    body = ("<article class='share-price'><div class='article-header'><h1>T</h1></div><div class='search-results'>a</div><div class='related-work'>b</div>"
+            "<div class='comment-free-list'>c</div><div class='comments'>gone</div><aside>gone</aside><div class='big ad'>gone</div><p>d</p></article>")
+    assert _texts_of(spark, [(1, "http://a.x/", body), (2, "http://b.x/", body)]) == dict.fromkeys((1, 2), "T\n\na\n\nb\n\nc\n\nd")
+
+
+def test_long_repeated_and_odd_pages(spark):
+    import time
+
+    long = "".join(f"<p>line {i % 7000}</p>" for i in range(30_000))
+    deep = "<b>" * 20_000 + "</i>" * 40_000 + "end"
+    path = "/x" * 200_000
+    rows = [(1, f"http://h.x{path}/1", long + "<p>own one</p>"), (2, f"http://h.x{path}/2", long + "<p>own two</p>"), (3, "http://d.x/1", deep), (4, "http://d.x/2", "other"),
+            (5, "http://r.x/1", "<p>shared</p><p>one</p>"), (6, "http://r.x/1", "<p>shared</p><p>one</p>"), (7, "http://r.x/2", "<p>shared</p><p>two</p>"),
+            (None, None, "<p>no url</p>"), (8, None, None), (9, "", "<p>empty url</p>"), (10, "nohost", "<p>no host</p>")]
+    began = time.time()
+    found = _texts_of(spark, rows)
+    assert time.time() - began < 60
+    assert found[1] == "own one" and found[2] == "own two" and found[3] == "end" and found[4] == "other"
+    assert found[5] == found[6] == "one" and found[7] == "two" and (found[None], found[8], found[9], found[10]) == ("no url", "", "empty url", "no host")
+    pairs = spark.createDataFrame([("", ""), ("abc", "abd"), ("abc", "abc"), ("x", "y"), ("日本語", "日本"), ("a" * 100_000, "a" * 99_999 + "b")], "a string, b string")
+    assert [r[0] for r in pairs.select(html_diff.common_start(F.col("a"), F.col("b"))).collect()] == [0, 2, 3, 0, 2, 99_999]
+
+
+#: Written apart from the labelled table: other names of the same kinds, some sharing parts of words with it.
+HELD_OUT = {
+    "block": "http://royalcasino77.example.com/play http://www.pokerstars-club.example.net/en/ https://betting-kings.example.org/sports-odds http://lucky-slots.example.info/spin"
+             " http://cheap-viagra-shop.example.com/order https://onlinepharmacy.example.net/buy-cialis http://hotxxxvideos.example.com/ http://adultdate.example.org/nude/3"
+             " http://cdn.adserver9.example.com/banner/468 http://clicktracker.example.net/redirect?url=x http://site.example.com/casino/bonus http://portal.example.org/free-spins/today"
+             " http://page.example.net/porn/12 http://torrentz.example.com/warez/full http://crackhub.example.net/keygen/win http://paydayloans.example.org/apply"
+             " http://replicawatch.example.com/outlet http://home.example.com/viagra-offer http://freegift.example.net/claim http://seobacklinks.example.info/",
+    "allow": "http://www.stadtbibliothek.example.org/oeffnungszeiten https://dailynews.example.com/article/88 http://blog.gardening.example.net/roses http://universityhall.example.org/course/12"
+             " http://docs.softwareproject.example.com/reference/api http://musee-dart.example.org/expositions http://recetas.example.com/receta/paella https://wetterdienst.example.net/karte"
+             " http://site.example.org/article/2 http://portal.example.com/about http://web.example.net/histoire/19 http://physics-notes.example.edu/paper/4"
+             " http://railwaymuseum.example.org/events http://villagechurch.example.com/contact http://localmarket.example.net/faq http://home.example.com/guide/setup"
+             " http://orchestra-city.example.org/agenda http://bookstores.example.com/author/9 http://familyblog.example.net/2024/06 http://chessclub.example.org/team",
+}
+
+
+def test_urls_against_brute_force_and_held_out_names(spark):
+    import math
+
+    table = url_filter.labelled()
+    assert len(table) == len({u for u, _ in table}) and 0.3 < sum(x for _, x in table) / len(table) < 0.5
+    held = [(u, v) for v, urls in HELD_OUT.items() for u in urls.split()]
+    assert not {u for u, _ in held} & {u for u, _ in table}
+    odd = [None, "", "nourl", "http://", "http://h?x://y", "http://" + "a" * 300_000 + ".x/" + "b" * 300_000, held[0][0], held[0][0]]
+    rows = [(i, u, "clash", 1.0) for i, u in enumerate([*(u for u, _ in held), *odd])]
+    found = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string, score double")).collect()}
+    assert len(found) == len(rows)
+    right = sum((found[i]["score"] >= 0.5) == (v == "block") for i, (_, v) in enumerate(held))  # the model's own verdict, without rules
+    print("held out urls:", right, "of", len(held))
+    assert right >= 0.85 * len(held)
+    # Scores again, one n-gram at a time, from the same weights.
+    sizes, buckets = (3, 4, 5), 1 << 13
+    grams = lambda text: {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
+    wanted = {(seed, g) for i in found if len(rows[i][1] or "") < 1000 for seed, t in enumerate((f"^{found[i]['host']}$", found[i]["path"])) for g in grams(t)}
+    wanted |= {(seed, g) for u, _ in table for seed, t in enumerate(("^" + u.split("/")[2] + "$", "/" + "/".join(u.split("/")[3:]).split("?")[0].split("#")[0] if u.count("/") > 2 else "")) for g in grams(t)}
+    frame = spark.createDataFrame(sorted(wanted), "seed int, g string")
+    bucket = {(r["seed"], r["g"]): r["b"] for r in frame.select("seed", "g", F.pmod(F.xxhash64("seed", "g"), F.lit(buckets)).alias("b")).collect()}
+    listed = lambda host, path: list(dict.fromkeys(bucket[s, t[i : i + n]] for s, t in enumerate((f"^{host}$", path)) for n in sizes for i in range(len(t) - n + 1)))
+    split = lambda u: (u.split("/")[2], ("/" + "/".join(u.split("/")[3:])).split("?")[0].split("#")[0] if u.count("/") > 2 else "")
+    weights, bias = url_filter.train([(listed(*split(u)), x) for u, x in sorted(table)], buckets)
+    for i, r in found.items():
+        if len(rows[i][1] or "") < 1000:
+            own = listed(r["host"], r["path"])
+            score = 1 / (1 + math.exp(-(bias + sum(weights[b] for b in own) / math.sqrt(max(1, len(own))))))
+            assert abs(score - r["score"]) < 1e-4
+            assert r["rule"] is not None or r["verdict"] == ("block" if r["score"] >= 0.5 else "allow")
+    n = len(held)
+    assert found[n + 6]["score"] == found[n + 7]["score"] == found[0]["score"] and (found[n]["host"], found[n]["path"]) == ("", "")
