@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 Every text gets counts (words, symbols, repeated lines, repeated 8-word windows) and five ratios made of them. A fixed base
-rule comes first. Of the other rules, each rejects texts whose ratio is above a cutoff. A stratum is a language, and its cutoffs are found
-on its own labelled rows alone, all of them: the cutoff of a ratio is the lowest of a fixed grid for which the share of the stratum's
-good texts that it rejects is below `risk` by an exact binomial test. The cutoffs of one ratio are nested and tested from the
-loosest, up to the first that fails, so they need no correction among themselves; rules and strata share one error level by
-Bonferroni's correction, and the risk is divided among the rules, so that with probability 1 - `error` no stratum loses more than
-`risk` of its good texts to them all. In a stratum with too few good rows for any test, and for a ratio none of whose
-cutoffs pass there, the rules reject nothing: the base rule alone decides. No stratum bears on the cutoffs of another but by
-the number of strata in the correction.
+rule comes first. After it a text goes if one of its ratios is above that ratio's cutoff. A stratum is a language, and its vector of cutoffs is found
+on its own labelled rows alone, all of them: so that of its good texts at most the share `risk` is rejected by all rules together, as exact
+binomial bounds on them show. Two families of vectors are tested, with error levels that add up to `error` over all strata (Bonferroni):
+
+- with a `JOINT` part of the level, all ratios' cutoffs at the same place of a fixed grid, from the loosest to the first that fails. As
+  the order is fixed beforehand, these tests need no correction among themselves (the level enters the rows needed by its logarithm alone);
+- with the rest, divided by the number of all vectors of the grid, any vector: then it may be chosen by looking at the data. From the strictest
+  joint vector that passed, the cutoff whose lowering rejects most labelled bad texts is lowered while the result still passes.
+
+So with probability 1 - `error` no stratum loses more than `risk` of its good texts. In a stratum with too few good rows for any test the
+rules reject nothing: the base rule alone decides. No stratum bears on another but by the number of strata in the correction.
 
 Nulls: a null text has no words and fails the base rule; a null lang is a stratum; null or conflicting labels of one document
 mean that its quality is not known: such rows are left out. Empty tables, missing labels: no cutoffs, the base rule alone decides.
@@ -39,7 +42,9 @@ SPACE = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("symbols", "dup_lines", "repeats", "shouts", "marks")
 #: Cutoffs tried for each ratio, from the strictest; fixed beforehand, so that the tests hold.
-GRID = tuple(round(0.02 * 1.25**k, 4) for k in range(18))
+GRID = tuple(round(0.02 * 1.4**k, 4) for k in range(12))
+#: The part of the error level that the joint cutoffs get.
+JOINT = 0.05
 MARKS = b"!?*#$%&|<>=+~^_{}[]\\@"
 
 _UPPER = bytes(range(65, 91))
@@ -102,49 +107,79 @@ def ratios(text: str | None, found: tuple[int, int, int, int, int]) -> tuple[flo
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X of Binomial(n, p), summed in logarithms."""
+    """P(X <= k) for X of Binomial(n, p), summed downwards from k as far as terms count."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    term, total = 1.0, 1.0
+    for i in range(k, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < 1e-18 * total and i < n * p:
+            break
+    return min(1.0, math.exp(log + math.log(total)))
+
+
+def most_rejected(n: int, risk: float, level: float) -> int:
+    """The most rejections among n good rows that show a share below risk at an error level; -1 if not even none does."""
+    low, high = -1, int(n * risk)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if binomial_tail(middle, n, risk) <= level else (low, middle - 1)
+    return low
 
 
 def needed(strata: int, risk: float = 0.02, error: float = 0.05) -> int:
-    """Good rows of a stratum that pass a test without one rejection; with fewer, no test can pass."""
-    return math.ceil(math.log(error / (len(RATIOS) * max(1, strata))) / math.log1p(-risk / len(RATIOS)))
+    """Good rows of a stratum that pass a joint test without one rejection; with fewer, no test can pass."""
+    return math.ceil(math.log(error * JOINT / max(1, strata)) / math.log1p(-risk))
 
 
-def proven(above: list[int], n: int, strata: int, risk: float = 0.02, error: float = 0.05) -> float | None:
-    """The lowest cutoff of one ratio that passes in a stratum of n good rows, of which above[k] are above GRID[k]."""
-    out = None
-    for cutoff, k in zip(reversed(GRID), reversed(above), strict=True):
-        if binomial_tail(k, n, risk / len(RATIOS)) > error / (len(RATIOS) * max(1, strata)):
-            break
-        out = cutoff
-    return out
+def vector(good: Counter, bad: Counter, strata: int, risk: float = 0.02, error: float = 0.05) -> tuple[int, ...]:
+    """Each ratio's place in the grid (its length: no cutoff) for one stratum's rows, counted by (cutoffs below each ratio)."""
+    top = len(GRID)
+    kinds = [np.array(list(c) or np.zeros((0, len(RATIOS))), np.int64).reshape(-1, len(RATIOS)) for c in (good, bad)]
+    times = [np.array(list(c.values()), np.int64) for c in (good, bad)]
+    n = int(times[0].sum())
 
+    def rejected(which: int, places: list[int]) -> int:
+        return int(times[which][(kinds[which] > np.array(places)).any(axis=1)].sum())
 
-def cutoffs_of(cells: dict[str | None, Counter], strata: int, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
-    """The cutoff of each (stratum, ratio) that passes; cells counts a stratum's good rows by (ratio's number, cutoffs below it)."""
+    joint = most_rejected(n, risk, error * JOINT / max(1, strata))
+    now = [top] * len(RATIOS)
+    for k in reversed(range(top)):
+        if rejected(0, [k] * len(RATIOS)) > joint:
+            break
+        now = [k] * len(RATIOS)
+    whole = most_rejected(n, risk, error * (1 - JOINT) / (max(1, strata) * (top + 1) ** len(RATIOS)))
+    while True:
+        held, steps = rejected(1, now), []
+        for i, at in enumerate(now):
+            for k in range(at):
+                tried = [*now[:i], k, *now[i + 1 :]]
+                lost = rejected(0, tried)
+                if lost <= whole:
+                    steps.append((held - rejected(1, tried), lost, -k, i, tried))
+        if not steps or min(steps)[0] >= 0:
+            return tuple(now)
+        now = min(steps)[-1]
+
+
+def cutoffs_of(good: dict[str | None, Counter], bad: dict[str | None, Counter], strata: int, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
+    """The cutoff of each (stratum, ratio) that has one."""
     out: dict[tuple[str | None, str], float] = {}
-    for stratum, held in cells.items():
-        for i, name in enumerate(RATIOS):
-            levels = [held[i, k] for k in range(len(GRID) + 1)]
-            above = [sum(levels[k + 1 :]) for k in range(len(GRID))]
-            cutoff = proven(above, sum(levels), strata, risk, error)
-            if cutoff is not None:
-                out[stratum, name] = cutoff
+    for stratum, held in good.items():
+        if held.total() >= needed(strata, risk, error):
+            places = vector(held, bad.get(stratum, Counter()), strata, risk, error)
+            out |= {(stratum, name): GRID[k] for name, k in zip(RATIOS, places, strict=True) if k < len(GRID)}
     return out
 
 
 def control(rows: list[tuple[str | None, int, tuple[float, ...]]], risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
-    """The cutoff of each (stratum, ratio) that passes, from labelled rows (stratum, quality, ratios) that the base rule keeps."""
-    cells: dict[str | None, Counter] = defaultdict(Counter)
+    """The cutoff of each (stratum, ratio) that has one, from labelled rows (stratum, quality, ratios) that the base rule keeps."""
+    kinds: tuple[dict, dict] = defaultdict(Counter), defaultdict(Counter)
     for stratum, quality, values in rows:
-        if quality == 1:
-            cells[stratum].update((i, bisect_left(GRID, x)) for i, x in enumerate(values))
-    return cutoffs_of(cells, len(cells), risk, error)
+        kinds[quality != 1][stratum][tuple(bisect_left(GRID, x) for x in values)] += 1
+    return cutoffs_of(*kinds, len(kinds[0]), risk, error)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +199,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(documents: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> dict[tuple[str | None, str], float]:
     """Cutoffs by (lang, ratio) from all labelled documents.
 
-    Texts become a few small numbers where they are read; only those meet the labels and are counted, so that the driver gets one row
-    for each language with enough good rows.
+    Texts become a few small numbers where they are read; only those meet the labels and are counted. The driver gets the counts of the
+    languages with enough good rows: at most one for each quality and vector of the grid, (len(GRID) + 1) ** 5 of them, however many rows.
     """
     spark = documents.sparkSession
     base.importable(spark)
     clear = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    good = clear.agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).filter("quality = top and quality = 1").select("doc_id")
+    known = clear.agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).filter("quality = top").select("doc_id", (F.col("quality") == 1).alias("good"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     found = rows.filter("doc_id is not null").mapInArrow(_features, "doc_id long, lang string, levels array<byte>")
-    cells = found.join(good, "doc_id").select("lang", F.posexplode("levels").alias("rule", "level")).groupBy("lang", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
-    of = cells.groupBy("lang").agg(F.collect_list(F.struct("rule", "level", "n")).alias("cells"), F.sum(F.expr("if(rule = 0, n, 0)")).alias("good"))
-    of = base.cut(of)
-    strata = of.count()
-    enough = of.filter(F.col("good") >= needed(strata, risk, error)).collect()
-    out = cutoffs_of({r["lang"]: Counter({(c["rule"], c["level"]): c["n"] for c in r["cells"]}) for r in enough}, strata, risk, error)
-    LOG.info("%d strata, %d of them with the %d good rows of a test: %s; cutoffs %s", strata, len(enough), needed(strata, risk, error), {r["lang"]: r["good"] for r in enough}, out)
+    cells = base.cut(found.join(known, "doc_id").groupBy("lang", "good", "levels").agg(F.count(F.lit(1)).alias("n")))
+    per = base.cut(cells.filter("good").groupBy("lang").agg(F.sum("n").alias("rows")))
+    strata = per.count()
+    enough = per.filter(F.col("rows") >= needed(strata, risk, error))
+    kinds: tuple[dict, dict] = defaultdict(Counter), defaultdict(Counter)
+    for r in cells.join(enough.select(F.col("lang").alias("_lang")), F.col("lang").eqNullSafe(F.col("_lang"))).collect():
+        kinds[not r["good"]][r["lang"]][tuple(r["levels"])] = r["n"]
+    out = cutoffs_of(*kinds, strata, risk, error)
+    LOG.info("%d strata, %d of them with the %d good rows of a test; cutoffs %s", strata, len(kinds[0]), needed(strata, risk, error), out)
     return out
 
 

@@ -563,3 +563,59 @@ def test_urls_against_brute_force_and_held_out_names(spark):
             assert r["rule"] is not None or r["verdict"] == ("block" if r["score"] >= 0.5 else "allow")
     n = len(held)
     assert found[n + 6]["score"] == found[n + 7]["score"] == found[0]["score"] and (found[n]["host"], found[n]["path"]) == ("", "")
+
+
+def _plain_ratios(text):
+    letters, upper = re.findall("[A-Za-z]", text), re.findall("[A-Z]", text)
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    chars = sum(map(len, words))
+    seen, lines = defaultdict(list), [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    for i in range(len(words) - 7):
+        seen[tuple(words[i : i + 8])].append(i)
+    again = {k for v in seen.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
+    if not words:
+        return (0.0,) * 5
+    return (len(re.findall(r"[#*$%&|<>]", text)) / chars, (len(lines) - len(set(lines))) / (text.count("\n") + 1), len(again) / len(words), len(upper) / max(1, len(letters)),
+            len(re.findall(r"[!?*#$%&|<>=+~^_{}\[\]\\@]", text)) / chars)
+
+
+def test_kept_against_brute_force(spark):
+    """Cutoffs shown again by exact fractions, and every verdict by ratios read plainly; rare, null and small strata among them."""
+    from fractions import Fraction
+    from math import comb
+
+    draw = random.Random(12)
+
+    def text(bad):
+        words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(draw.randint(25, 60))]
+        marks = draw.choice([0.0, 0.0, 0.01, 0.3]) if bad else draw.choice([0.0] * 9 + [0.02])
+        words = [w.upper() if bad and draw.random() < 0.75 else w + "#" * (draw.random() < marks * 3) for w in words]
+        return " ".join(words) + "\nline\nline" * draw.randint(0, 2)
+
+    rows, labels = [], []
+    for lang, good, bad in (("en", 1300, 200), ("de", 420, 60), ("fr", 100, 20), (None, 40, 10), ("xx", 1, 0)):
+        for k in range(good + bad):
+            labels.append((len(rows), int(k < good)))
+            rows.append((len(rows), text(k >= good), lang))
+    unlabelled = [(10**6 + k, text(k % 2), draw.choice(["en", "de", "fr", None, "zz"])) for k in range(300)] + [(None, "x", "en"), (2 * 10**6, None, None), (2 * 10**6 + 1, "", "en")]
+    labels += [(0, 1), (1, 0), (1, 1), (2, None), (None, 1)]  # repeated, in conflict, null
+    frame = spark.createDataFrame([*rows, *unlabelled], "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality.learn(frame, table)
+    assert {lang for lang, _ in found} == {"en", "de"}
+    places = {lang: [found.get((lang, name), 2.0) for name in quality.RATIOS] for lang in ("en", "de")}
+    goes = lambda t, lang: any(x > c for x, c in zip(_plain_ratios(t), places.get(lang, [2.0] * 5), strict=True))
+    out = quality.quality_rules(frame, table).collect()
+    by_id = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows) + len(unlabelled)
+    for i, t, lang in [*rows, *unlabelled]:
+        assert by_id[i]["kept"] == (not by_id[i]["base_failed"] and not goes(t or "", lang)), (i, lang)
+    for lang in ("en", "de"):
+        good = [t for (i, t, x) in rows if x == lang and i not in (1, 2) and dict(labels[: len(rows)])[i] == 1 and not by_id[i]["base_failed"]]
+        lost, p, n = sum(goes(t, lang) for t in good), Fraction(2, 100), len(good)
+        tail = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(lost + 1))
+        assert tail <= Fraction(5, 100) / 5
+        assert sum(goes(t, lang) for i, t, x in rows if x == lang and not dict(labels[: len(rows)])[i]) > 10
+    assert abs(quality.binomial_tail(20, 2000, 0.02) - float(sum(comb(2000, k) * Fraction(1, 50) ** k * Fraction(49, 50) ** (2000 - k) for k in range(21)))) < 1e-9
+    k = quality.most_rejected(2000, 0.02, 0.001)
+    assert quality.binomial_tail(k, 2000, 0.02) <= 0.001 < quality.binomial_tail(k + 1, 2000, 0.02) and quality.most_rejected(100, 0.02, 0.001) == -1
