@@ -63,5 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: None of the ten is wholly expressible in SQL; tests/llm holds them one by one against brute force, round trips or held-out rows, not the pipeline.
+#: None of the ten is wholly expressible in SQL; tests/llm holds them, and the pipeline, against brute force, round trips or held-out rows.
 ORACLES: dict[str, str] = {}

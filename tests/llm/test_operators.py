@@ -619,3 +619,91 @@ def test_kept_against_brute_force(spark):
     assert abs(quality.binomial_tail(20, 2000, 0.02) - float(sum(comb(2000, k) * Fraction(1, 50) ** k * Fraction(49, 50) ** (2000 - k) for k in range(21)))) < 1e-9
     k = quality.most_rejected(2000, 0.02, 0.001)
     assert quality.binomial_tail(k, 2000, 0.02) <= 0.001 < quality.binomial_tail(k + 1, 2000, 0.02) and quality.most_rejected(100, 0.02, 0.001) == -1
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small corpus with nulls, near copies, junk and a clashing column, against each stage done plainly."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    taken = base.read(spark, SF, "documents").select("doc_id", "text", "lang", "source").orderBy("doc_id").limit(160).collect()
+    rows = [tuple(r) for r in taken if len(r["text"] or "") < 6000]
+    long = next(r for r in rows if len((r[1] or "").split()) > 80)
+    top = max(r[0] for r in rows) + 1
+    rows += [(top, long[1] + " and one more", long[2], "s0"), (top + 1, None, "en", "s0"), (top + 2, "123 !? 456 " * 20, None, None), (None, " ".join(f"alone{i}" for i in range(30)), None, None),
+             (top + 3, "too few words", "en", "s1"), (top + 4, long[1], None, None)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, size int"
+    spark.createDataFrame([(*r, len(r[1] or ""), 1) for r in rows], fields).write.parquet(f"{tmp_path}/documents.parquet")
+    base.read(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = base.read(spark, str(tmp_path), "documents")
+    found = Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = langid.learn(docs)
+    left = []
+    for r in rows:
+        if r[1] and any(c.isalpha() for c in r[1]) and max(_plain_scores(r[1], model)) >= model.reject:
+            left.append(r)
+    word = re.compile("[^\x20\x09-\x0d]+")
+    cutoffs = quality.learn(docs, base.read(spark, str(tmp_path), "labels"))
+    good = []
+    for r in left:
+        again, n = round(_plain_ratios(r[1])[2] * len(word.findall(r[1]))), len(word.findall(r[1]))
+        if n >= 20 and 100 * again <= 30 * n and not any(x > cutoffs.get((r[2], name), 2) for x, name in zip(_plain_ratios(r[1]), quality.RATIOS, strict=True)):
+            good.append(r)
+    assert len(good) < len(left) < len(rows)
+    sets, root = [frozenset(chosen_path.shingles(r[1]).tolist()) for r in good], list(range(len(good)))
+
+    def head(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(good)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            root[head(i)] = head(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(good):
+        groups[head(i)].append(r)
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert len(kept) < len(good)
+
+    size = {r: len(word.findall(r[1])) for r in kept}
+    names = sorted({r[3] for r in kept if r[3] is not None}) + ([None] if any(r[3] is None for r in kept) else [])
+    whole = {s: sum(n for r, n in size.items() if r[3] == s) for s in names}
+    weight, total = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, sum(whole.values())
+    full: set = set()
+    while True:
+        level = (total - sum(3 * whole[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        if not (more := {s for s in names if s not in full and 3 * whole[s] < level * weight[s]}):
+            break
+        full |= more
+    target = {s: 3.0 * whole[s] if s in full else level * weight[s] for s in names}
+    block = max(1, total // (8 * 65_536))
+    held = dict.fromkeys(names, 0)
+    for _ in range(total // (8 * block) * 8):
+        held[max(names, key=lambda s: (target[s] / (2 * held[s] + 1), -names.index(s)))] += 1
+    ids = spark.createDataFrame([(r[0],) for r in kept], "doc_id long")
+    draw = {r[0]: r[1] for r in ids.select("doc_id", F.xxhash64(F.lit(17), F.coalesce("doc_id", F.lit(0)))).collect()}
+    n_rows, parts = len(kept), max(1, min(-(-len(kept) // 1000), int(len(kept) ** 0.5)))
+    assert parts == 1 and n_rows == len({r[0] for r in kept})
+    out = []
+    for s in names:
+        words = min(3 * whole[s], held[s] * block)
+        passes, rest = divmod(words, whole[s])
+        for r in sorted((r for r in kept if r[3] == s), key=lambda r: draw[r[0]]):
+            part = min(size[r], max(rest, 0))
+            rest -= size[r]
+            out += [(r[0], r[1])] * (passes + (part == size[r]))
+            if 0 < part < size[r]:
+                out.append((r[0], "".join(re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+", r[1])[:part])))
+    tokenizer, want = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), Counter()
+    for i, t in out:
+        made = tokenizer.encode(t, add_special_tokens=False).ids
+        decoded = tokenizer.decode(made, skip_special_tokens=False)
+        want[i, len(made), hashlib.sha256(struct.pack(f"<{len(made)}I", *made)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] += 1
+    assert found == want
+    empty = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
