@@ -1,4 +1,10 @@
-"""A training corpus from documents: language, quality, near duplicates, source mix, tokens."""
+"""A training corpus from documents: language, quality, near duplicates, source mix, tokens.
+
+Nulls: a document with a null text, or one without a letter, goes with the language stage; a null lang, source or doc_id is kept
+and treated as a value of its own. Repeated rows are near copies of each other, and one of them stays. Ties between rows of a class go to the
+least doc_id, then to a hash of the row. Very long texts are read whole in every stage. An empty table stays empty. Other columns, clashing names
+among them, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -12,24 +18,24 @@ from keystrata.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model tells with confidence."""
+    """Documents whose language the model tells with confidence; all go where there is no labelled row to learn from."""
     found = langid.predict(docs, langid.learn(docs), keep=True)
     return found.filter(~F.col("rejected")).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the risk-controlled rules keep."""
+    """Documents that the base rule and the risk-controlled rules keep; without labels the base rule alone decides."""
     cutoffs = quality.learn(docs, base.read(spark, sf_dir, "labels"))
     return quality.judge(docs, cutoffs, keep=True).filter("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; rows without words cannot arrive here."""
     return chosen_path.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them."""
+    """Documents as often, and as far, as the mix takes them: up to three copies, the last one cut after a word."""
     return mixture.apply_mix(docs)
 
 
@@ -46,7 +52,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Hashing, learned models and exact set joins have no DuckDB form here; tests/llm checks the stages one by one, but no run as a whole against brute force.
+#: Hashing, learned models and exact set joins have no DuckDB form here; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
