@@ -20,6 +20,8 @@ MEDIUM_RATIO = 0.2
 SEGMENT = 2 * 1024 * 1024
 LEVELS = 8
 MEDIUM_INPLACE_LEVEL = 3
+MAX_LSN = (1 << 63) - 1  # of values that a compaction appends to the medium log
+SMALLEST_KEY = b"\x00"
 
 
 def size_class(key_size: Column, value_size: Column, op: Column | None = None) -> Column:
@@ -56,6 +58,38 @@ def placement(size_class: Column, level: Column, inplace_level: int = MEDIUM_INP
     return F.when(size_class == "BIG", "BIG_INLOG").when(size_class == "MEDIUM", medium).otherwise("SMALL_INPLACE")
 
 
+def kv_category(key_size: Column, value_size: Column, op: Column) -> tuple[Column, Column]:
+    """(class, error): operations other than put and delete are an error and count as BIG."""
+    known = F.coalesce(op.isin("put", "delete"), F.lit(False))
+    return F.when(known, size_class(key_size, value_size, op)).otherwise("BIG"), F.when(~known, "unknown operation")
+
+
+def _little(number: Column, size: int) -> Column:
+    """A whole number as `size` little-endian bytes in hexadecimal."""
+    digits = F.lpad(F.hex(number.cast("long")), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
+
+
+def serialized(key: Column, value: Column, size_class: Column, op: Column | None = None) -> Column:
+    """A pair as bytes: 2 of metadata (bit 1: tombstone; bits 2 and 3: class), 2 of the key's size, 4 of the value's, key, value; numbers little-endian."""
+    kind = F.when(size_class == "SMALL", 0).when(size_class == "MEDIUM", 1).otherwise(3)
+    tombstone = F.lit(0) if op is None else F.when(op == "delete", 2).otherwise(0)
+    key, value = key.cast("binary"), F.coalesce(value.cast("binary"), F.lit(b""))
+    head = F.concat(_little(kind * 4 + tombstone, 2), _little(F.octet_length(key), 2), _little(F.octet_length(value), 4))
+    return F.concat(F.unhex(head), key, value)
+
+
+def deserialized(data: Column) -> tuple[Column, Column]:
+    """Key and value of a serialized pair, as bytes."""
+
+    def number(start: int, size: int) -> Column:
+        digits = F.hex(F.substring(data, start, size))
+        return F.conv(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))), 16, 10).cast("int")
+
+    key_size = number(3, 2)
+    return F.substring(data, F.lit(META + 1), key_size), F.substring(data, F.lit(META + 1) + key_size, number(5, 4))
+
+
 def put_error(key_size: Column, value_size: Column) -> Column:
     """Why a put is refused; null when it is accepted."""
     return (

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import kv
+from keystrata.functions import kv, order
 from keystrata.operators import state
 
 
@@ -41,8 +41,42 @@ def with_liveness(ops: DataFrame) -> DataFrame:
     return ops.join(newest, "key").withColumn("live", (F.col("lsn") == F.col("_newest")) & (F.col("op") == "put")).drop("_newest")
 
 
+def with_newest(ops: DataFrame) -> DataFrame:
+    """Every version with `newest`, tombstones included."""
+    top = ops.groupBy("key").agg(F.max("lsn").alias("_newest"))
+    return ops.join(top, "key").withColumn("newest", F.col("lsn") == F.col("_newest")).drop("_newest")
+
+
+def big_garbage(versions: DataFrame) -> DataFrame:
+    """Bytes of superseded values of class BIG in each segment of their log, from (segment, class, newest, size): what collection goes by."""
+    return versions.filter("class = 'BIG' and not newest").groupBy("segment").agg(F.sum("size").cast("long").alias("garbage_bytes"))
+
+
+def recovered_garbage(events: DataFrame) -> DataFrame:
+    """Garbage counters of each segment, rebuilt from an allocation log (segment, op, garbage_bytes)."""
+    return events.filter("op = 'garbage'").groupBy("segment").agg(F.sum("garbage_bytes").cast("long").alias("garbage_bytes"))
+
+
+def relocate(versions: DataFrame, victims: DataFrame) -> DataFrame:
+    """key, old_lsn and lsn of the live versions in victim segments, written anew at the log's tail in their old order."""
+    top = versions.agg(F.max("lsn").alias("_top"))  # one row
+    live = versions.filter("live").join(victims.select("segment"), "segment", "left_semi").select("key", F.col("lsn").alias("old_lsn"))
+    placed = order.positions(live, "old_lsn").join(F.broadcast(top), F.lit(True))
+    return placed.select("key", "old_lsn", (F.col("_top") + 1 + F.col("pos")).alias("lsn"))
+
+
+def with_events(packed: DataFrame, segment: int = kv.SEGMENT) -> DataFrame:
+    """Packed entries (log, lsn, size, offset) with `flushed`, the segment that an entry's arrival completes, and `padding` in it."""
+    here = Window.partitionBy("log", F.expr(f"offset div {segment}")).orderBy("lsn")
+    last = packed.withColumns({"_segment": F.expr(f"offset div {segment}"), "_first": F.row_number().over(here) == 1})
+    ends = last.groupBy("log", "_segment").agg((F.max(F.col("offset") + F.col("size"))).alias("_end"))
+    ends = ends.select("log", (F.col("_segment") + 1).alias("_segment"), (F.col("_segment") * segment).alias("_was"), ((F.col("_segment") + 1) * segment - F.col("_end")).alias("_room"))
+    out = last.join(ends, ["log", "_segment"], "left")
+    return out.select(*packed.columns, *(F.when(F.col("_first"), F.col(c)).cast("long").alias(n) for c, n in (("_was", "flushed"), ("_room", "padding"))))
+
+
 def garbage(versions: DataFrame) -> DataFrame:
-    """Bytes of dead versions of each segment, from (segment, live, size)."""
+    """Bytes of dead versions of each segment, whatever their class, from (segment, live, size): a space account."""
     dead = F.when(~F.col("live"), F.col("size")).otherwise(0)
     return versions.groupBy("segment").agg(
         F.sum(dead).cast("long").alias("garbage_bytes"), F.sum("size").cast("long").alias("total_bytes"), F.sum(F.col("live").cast("long")).alias("live_rows")

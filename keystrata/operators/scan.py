@@ -11,20 +11,20 @@ GREATER, GREATER_OR_EQUAL, FETCH_FIRST = "greater", "greater_or_equal", "fetch_f
 MAX_SEEK = 252
 
 
-def seek(state: DataFrame, mode: str = FETCH_FIRST, key: str | None = None) -> DataFrame:
-    """Rows from the seek position on, in no order yet; the filter is pushed into the scan."""
+def seek(state: DataFrame, mode: str = FETCH_FIRST, key: str | bytes | None = None) -> DataFrame:
+    """Rows from the seek position on, in no order yet; a filter on a stored key is pushed into the scan. Keys are strings or bytes."""
     if mode == FETCH_FIRST:
         return state
     if mode not in (GREATER, GREATER_OR_EQUAL):
         raise ValueError("Unknown seek scanner mode")
     if key is None:
         raise ValueError("a seek needs a key")
-    if len(key.encode()) > MAX_SEEK:
+    if len(key.encode() if isinstance(key, str) else key) > MAX_SEEK:
         raise ValueError("the seek key is too long")
-    return state.filter(F.col("key") > key if mode == GREATER else F.col("key") >= key)
+    return state.filter(F.col("key") > F.lit(key) if mode == GREATER else F.col("key") >= F.lit(key))
 
 
-def scan(state: DataFrame, n: int, mode: str = FETCH_FIRST, key: str | None = None, reverse: bool = False) -> DataFrame:
+def scan(state: DataFrame, n: int, mode: str = FETCH_FIRST, key: str | bytes | None = None, reverse: bool = False) -> DataFrame:
     """The first n rows from the position in key order, with their place; a top-k, not a sort of everything."""
     by = F.col("key").desc() if reverse else F.col("key").asc()
     rows = seek(state, mode, key).orderBy(by).limit(n)
@@ -55,3 +55,9 @@ def batch_scan(state: DataFrame, starts: DataFrame, n: int) -> DataFrame:
     wanted = asked.withColumn("at", F.explode(F.sequence("first", F.col("first") + n - 1)))
     held = placed.filter("kind = 1").select("key", F.col("pos").alias("at"))
     return wanted.join(held, "at").select("start", "key", (F.col("at") - F.col("first") + 1).alias("pos"))
+
+
+def positions(state: DataFrame, starts: DataFrame) -> DataFrame:
+    """For each start (column start) whether a scanner from there is valid, and its current key and value."""
+    first = batch_scan(state, starts, 1).select("start", "key").join(state.select("key", "value"), "key")
+    return starts.join(first, "start", "left").select("start", F.col("key").isNotNull().alias("is_valid"), "key", "value")

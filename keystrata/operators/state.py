@@ -26,9 +26,9 @@ def tombstoned(ops: DataFrame) -> DataFrame:
     return latest(ops).filter("op = 'delete'").select("key", "lsn")
 
 
-def get(ops: DataFrame, key: str) -> DataFrame:
-    """The filter on the key reaches the scan, below the aggregate."""
-    return visible(ops.filter(F.col("key") == key))
+def get(ops: DataFrame, key: str | bytes) -> DataFrame:
+    """The filter on the key goes below the aggregate, and into the scan where the key is a stored column, as in a Store."""
+    return visible(ops.filter(F.col("key") == F.lit(key)))
 
 
 def multi_get(keys: DataFrame, state: DataFrame) -> DataFrame:

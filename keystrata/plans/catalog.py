@@ -107,26 +107,27 @@ def get_point(spark, sf):
     return state.get(events(spark, sf), "u000007").select("key", "lsn", "value")
 
 
-PROBES = "probes AS (SELECT 'u' || lpad(CAST(i AS VARCHAR), 6, '0') AS key FROM range(0, 400, 3) AS x(i))"
+#: Asked keys grow with the tables: customers of orders, most of whom are no users.
+PROBES = "probes AS (SELECT DISTINCT 'u' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS key FROM orders)"
 
 
-def probes(spark):
-    return spark.range(0, 400, 3).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"))
+def probes(spark, sf):
+    return orders(spark, sf).select(F.concat(F.lit("u"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("key")).distinct()
 
 
 @query(f"WITH {V}, {PROBES} SELECT key, value, visible.lsn IS NOT NULL AS found FROM probes LEFT JOIN visible USING (key)")
 def multi_get(spark, sf):
-    return state.multi_get(probes(spark), state.visible(events(spark, sf))).select("key", "value", "found")
+    return state.multi_get(probes(spark, sf), state.visible(events(spark, sf))).select("key", "value", "found")
 
 
 @query(f"WITH {V}, {PROBES} SELECT key FROM probes WHERE key IN (SELECT key FROM visible)")
 def exists_keys(spark, sf):
-    return state.exists(probes(spark), state.visible(events(spark, sf)))
+    return state.exists(probes(spark, sf), state.visible(events(spark, sf)))
 
 
 @query(f"WITH {V}, {PROBES} SELECT key FROM probes WHERE key NOT IN (SELECT key FROM visible)")
 def missing_keys(spark, sf):
-    return state.missing(probes(spark), state.visible(events(spark, sf)))
+    return state.missing(probes(spark, sf), state.visible(events(spark, sf)))
 
 
 @query(f"WITH {V} SELECT * FROM visible WHERE CAST(substr(key, 2) AS BIGINT) % 2 <> 0")
@@ -191,11 +192,12 @@ def scan_after_missing_key(spark, sf):
 TURNS = "k AS (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || '/' || lpad(CAST(turn AS VARCHAR), 4, '0') AS key FROM conversations)"
 
 
-@query(f"""WITH {TURNS}, s AS (SELECT lpad(CAST(i AS VARCHAR), 8, '0') AS start FROM range(0, 40) AS x(i)),
+@query(f"""WITH {TURNS}, s AS (SELECT DISTINCT lpad(CAST(conv_id AS VARCHAR), 8, '0') || '/0001' AS start FROM conversations),
  j AS (SELECT start, key, row_number() OVER (PARTITION BY start ORDER BY key) AS pos FROM s JOIN k ON key >= start) SELECT * FROM j WHERE pos <= 5""")
 def batch_scan_topn(spark, sf):
     keys = oplog.read(spark, sf, "conversations").select(oplog.turn_key().alias("key"))
-    starts = spark.range(40).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("start"))
+    ids = oplog.read(spark, sf, "conversations").select("conv_id").distinct()
+    starts = ids.select(F.concat(F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("/0001")).alias("start"))
     return scan.batch_scan(keys, starts, 5)
 
 
@@ -260,7 +262,9 @@ def merge_runs(spark, sf):
     return merge.merge_runs(runs(spark, sf)).select("key", "level", "epoch", "op", "value")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_merged, CAST(0 AS BIGINT) AS only_latest")
+@query(f"""WITH {RUNS}, one AS (SELECT key, op, value FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY level, epoch DESC) = 1),
+ two AS (SELECT key, op, value FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1)
+SELECT (SELECT count(*) FROM (FROM one EXCEPT ALL FROM two)) AS only_merged, (SELECT count(*) FROM (FROM two EXCEPT ALL FROM one)) AS only_latest""")
 def merge_equals_latest(spark, sf):
     one = merge.merge_runs(runs(spark, sf)).select("key", "op", "value")
     two = state.latest(events(spark, sf)).select("key", "op", "value")
@@ -342,8 +346,8 @@ def gc_victims(spark, sf):
 @query(f"WITH {V} SELECT * FROM visible")
 def wal_replay(spark, sf):
     ops = events(spark, sf)
-    big = F.coalesce(F.octet_length("value") > 12, F.lit(False))
-    return merge.replay(ops.filter(~big), ops.filter(big)).select("key", "lsn", "value")
+    log = kv.log_of(kv.size_class(F.octet_length("key"), F.coalesce(F.octet_length("value"), F.lit(0)), F.col("op")))
+    return merge.replay(ops.filter(log == "L0_RECOVERY"), ops.filter(log == "BIG")).select("key", "lsn", "value")
 
 
 @query("""WITH a AS (SELECT event_id AS seq, user_id AS segment, CASE WHEN event_type IN ('error', 'click') THEN 'free' ELSE 'alloc' END AS op FROM events)
@@ -353,7 +357,16 @@ def alloc_replay(spark, sf):
     return merge.replay_allocations(oplog.read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("segment"), op.alias("op")))
 
 
-@query()
+def packing_sql(rows: str, segment: int) -> str:
+    """p (log, lsn, size, off): entries of rows (log, lsn, size) laid out one after another, as a recursive walk along each log."""
+    return f"""r AS MATERIALIZED (SELECT log, lsn, size, row_number() OVER (PARTITION BY log ORDER BY lsn) AS n FROM {rows}),
+ p AS (SELECT log, lsn, size, n, CAST(0 AS BIGINT) AS off FROM r WHERE n = 1 UNION ALL
+  SELECT r.log, r.lsn, r.size, r.n, CAST(CASE WHEN r.size > {segment} - (p.off + p.size) % {segment} THEN p.off + p.size + {segment} - (p.off + p.size) % {segment} ELSE p.off + p.size END AS BIGINT)
+  FROM p JOIN r ON r.log = p.log AND r.n = p.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {VERSIONS}, x AS (SELECT 'log' || CAST(lsn % 4 AS VARCHAR) AS log, lsn, CAST(size AS BIGINT) AS size FROM w), {packing_sql('x', 4096)}
+SELECT log, lsn, size, off AS "offset" FROM p""")
 def segment_packing(spark, sf):
     rows = versions(spark, sf).select(F.concat(F.lit("log"), (F.col("lsn") % 4).cast("string")).alias("log"), "lsn", "size")
     return merge.pack(rows, 4096)
@@ -408,6 +421,21 @@ FNV_SQL = """CAST(list_reduce([14695981039346656037::UHUGEINT] || list_transform
  lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR)"""
 
 
+def transactions_sql(n: int, records: int, name: str) -> str:
+    """requests (i, op, record, scan_length) of a workload other than d."""
+    upto, cases = 0.0, ""
+    for op, share in workload.WORKLOADS[name].items():
+        upto += share
+        cases += f" WHEN u < {upto!r} THEN '{op}'"
+    draw = "('0x' || substr(md5(CAST(i AS VARCHAR) || '{}'), 1, 6))::BIGINT / 16777216.0::DOUBLE"
+    return f"""WITH z AS (SELECT sum(1 / pow(i, 0.99::DOUBLE)) AS zn FROM range(1, {records + 1}) AS x(i)),
+ d AS (SELECT i, {draw.format('')} AS u, {draw.format(':rank')} AS v, {draw.format(':scan')} AS s FROM range(0, {n}) AS x(i)),
+ t AS (SELECT *, (1 - pow(2.0::DOUBLE / {records}, 1 - 0.99::DOUBLE)) / (1 - (1 + pow(0.5::DOUBLE, 0.99)) / zn) AS eta FROM d, z),
+ k AS (SELECT i, CASE{cases} ELSE '{op}' END AS op, s, CASE WHEN v * zn < 1 THEN 0 WHEN v * zn < 1 + pow(0.5::DOUBLE, 0.99) THEN 1
+  ELSE least({records - 1}, CAST(floor({records} * pow(eta * v - eta + 1, 1 / (1 - 0.99::DOUBLE))) AS BIGINT)) END AS id FROM t),
+ requests AS (SELECT i, op, CAST(CAST({FNV_SQL} AS UHUGEINT) % {records} AS BIGINT) AS record, CASE WHEN op = 'scan' THEN CAST(floor(s * 1000) + 1 AS BIGINT) END AS scan_length FROM k)"""
+
+
 @query(f"SELECT id, {FNV_SQL} AS hash FROM (SELECT o_orderkey AS id FROM orders)")
 def key_hash(spark, sf):
     return orders(spark, sf).select(F.col("o_orderkey").alias("id"), kv.fnv1a("o_orderkey").cast("string").alias("hash"))
@@ -451,12 +479,13 @@ def garbage_stats(spark, sf):
     return merge.garbage(segments(spark, sf)).agg(dirty, F.sum("garbage_bytes").alias("garbage_bytes"), F.sum("total_bytes").alias("total_bytes"))
 
 
-@query()
+@query(transactions_sql(20_000, 5000, "e") + " SELECT i, op, record, scan_length FROM requests")
 def ycsb_transactions(spark, sf):
     return workload.transactions(spark, 20_000, 5000, "e")
 
 
-@query()
+@query(f"""SELECT {FNV_SQL} AS key, id AS lsn, 'put' AS op, CAST(CASE WHEN id % 10 < 6 THEN 5 WHEN id % 10 < 8 THEN 100 ELSE 2000 END AS BIGINT) AS value_size
+FROM range(0, 10000) AS x(id)""")
 def ycsb_load(spark, sf):
     return workload.load_phase(spark, 10_000)
 

@@ -31,9 +31,10 @@ def value_size(i: Column, mix: str) -> Column:
     return F.get(sizes, (i % 10).cast("int")).cast("long")
 
 
-def uniform(i: Column) -> Column:
-    """A number below 1 from a hash of i that any engine can make."""
-    return F.conv(F.substring(F.md5(i.cast("string").cast("binary")), 1, 6), 16, 10).cast("long") / float(1 << 24)
+def uniform(i: Column, salt: str = "") -> Column:
+    """A number below 1 from a hash of i (and a salt) that any engine can make."""
+    text = F.concat(i.cast("string"), F.lit(salt)) if salt else i.cast("string")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long") / float(1 << 24)
 
 
 def choose(i: Column, shares: dict[str, float]) -> Column:
@@ -72,13 +73,36 @@ def latest_skew(top: Column, rank: Column) -> Column:
     return F.greatest(F.lit(0), top - rank).cast("long")
 
 
-def transactions(spark: SparkSession, n: int, records: int, workload: str, seed: int = 1, most_scan: int = 100) -> DataFrame:
-    """n requests of a workload: i, op, record (zipfian, scrambled; the newest in workload d) and scan length."""
-    z = zeta(spark, records)
-    rows = spark.range(n).select(F.col("id").alias("i"), choose(F.col("id"), WORKLOADS[workload]).alias("op"), zipf(F.rand(seed), records, z).alias("rank"), F.rand(seed + 1).alias("u"))
+def scan_length(u: Column, most: int = 1000, zeta_n: float | None = None) -> Column:
+    """Rows a scan asks for, from 1 to `most`: uniform, or zipfian if zeta of `most` is given."""
+    return ((F.floor(u * most) if zeta_n is None else zipf(u, most, zeta_n)) + 1).cast("long")
+
+
+def transactions(spark: SparkSession, n: int, records: int, workload: str, most_scan: int = 1000) -> DataFrame:
+    """n requests of a workload: i, op, record (zipfian, scrambled; the newest in workload d) and scan length.
+
+    All draws are hashes of i, so that requests do not depend on how rows are dealt.
+    """
+    i = F.col("id")
+    rank = zipf(uniform(i, ":rank"), records, zeta(spark, records))
+    rows = spark.range(n).select(i.alias("i"), choose(i, WORKLOADS[workload]).alias("op"), rank.alias("rank"), uniform(i, ":scan").alias("u"))
     record = latest_skew(F.lit(records - 1), F.col("rank")) if workload == "d" else scrambled(F.col("rank"), records)
-    length = F.when(F.col("op") == "scan", (F.floor(F.col("u") * most_scan) + 1).cast("long"))
-    return rows.select("i", "op", record.alias("record"), length.alias("scan_length"))
+    return rows.select("i", "op", record.alias("record"), F.when(F.col("op") == "scan", scan_length(F.col("u"), most_scan)).alias("scan_length"))
+
+
+def run(requests: DataFrame, loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replies (i, op, key, found) to requests on the loaded records (key, lsn, op, value_size), and the log after them.
+
+    A request's key is its record's; a read, scan or read-modify-write finds what was loaded. Updates, inserts and read-modify-writes of found
+    records append operations with lsns after the load, in the order of requests.
+    """
+    keyed = requests.withColumn("key", kv.fnv1a("record").cast("string"))
+    held = loaded.filter("op = 'put'").select("key").distinct().withColumn("found", F.lit(True))
+    replies = keyed.join(held, "key", "left").select("i", "op", "key", F.coalesce("found", F.lit(False)).alias("found"))
+    writes = replies.filter("op in ('update', 'insert') or (op = 'rmw' and found)")
+    top = loaded.agg(F.max("lsn").alias("_top"))  # one row
+    new = writes.join(F.broadcast(top), F.lit(True)).select("key", (F.coalesce("_top", F.lit(-1)) + 1 + F.col("i")).alias("lsn"), F.lit("put").alias("op"), value_size(F.col("i"), "sd").alias("value_size"))
+    return replies, loaded.select("key", "lsn", "op", "value_size").unionByName(new)
 
 
 def plan_file(lines: DataFrame) -> DataFrame:
@@ -116,6 +140,42 @@ def mean_of_threads(latencies: DataFrame) -> DataFrame:
     )
 
 
+def missing(latencies: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """op and how many of its latencies lie beyond the last bucket."""
+    return latencies.groupBy("op").agg(F.count(F.when(F.col("usec") >= buckets, 1)).alias("missing"))
+
+
+def mean_of_percentiles(latencies: DataFrame, points: tuple[float, ...] = POINTS) -> DataFrame:
+    """Every statistic of each thread by itself, then the integer mean over the threads."""
+    held = latencies.filter((F.col("usec") >= 0) & (F.col("usec") < BUCKETS)).groupBy("op", "thread", "usec").agg(F.count(F.lit(1)).alias("n"))
+    own = percentiles(held, ["op", "thread"], points)
+    names = [c for c in own.columns if c not in ("op", "thread", "samples")]
+    means = [F.floor(F.sum(c) / F.count(F.lit(1))).cast("long").alias(c) for c in names]
+    return own.groupBy("op").agg(F.sum("samples").cast("long").alias("samples"), *means)
+
+
+def io_volume(samples: DataFrame, sector: int = 512) -> DataFrame:
+    """Whole megabytes read and written between two readings (phase before or after) of every device's sector counters."""
+
+    def grown(column: str) -> Column:
+        change = F.sum(F.when(F.col("phase") == "after", F.col(column)).otherwise(-F.col(column)))
+        return F.expr(f"cast(total_{column} * {sector} div 1048576 as long)"), change.alias(f"total_{column}")
+
+    (read, read_sum), (written, written_sum) = grown("sectors_read"), grown("sectors_written")
+    return samples.agg(read_sum, written_sum).select(read.alias("read_mb"), written.alias("written_mb"))
+
+
+#: Fixed value: cycles a second of the machine that statistics are stated for.
+CYCLES = 76_800_000_000
+
+
+def cycles(samples: DataFrame, ops_per_second: float, cycles_per_second: int = CYCLES) -> DataFrame:
+    """CPU percent, and cycles an operation with and without waiting for I/O, from samples of percentages (idle, iowait)."""
+    busy = 100 - F.avg("idle")
+    cost = lambda percent: percent / 100 * cycles_per_second / ops_per_second
+    return samples.agg(F.round(busy, 6).alias("cpu_percent"), F.round(cost(busy), 4).alias("cycles_per_op"), F.round(cost(busy - F.avg("iowait")), 4).alias("cycles_without_iowait"))
+
+
 def throughput(events: DataFrame, every: str = "1 day") -> DataFrame:
     """Operations of each tumbling interval and the change against the interval before; one row for each interval is ordered."""
     per = events.groupBy(F.window("ts", every)["start"].alias("start")).agg(F.count(F.lit(1)).alias("n"))

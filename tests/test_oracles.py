@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from keystrata.plans import catalog
+from keystrata.plans import catalog, engine  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
