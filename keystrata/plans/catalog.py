@@ -88,8 +88,9 @@ SELECT key, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_returnflag DESC) = 1""")
 def upsert_latest(spark, sf):
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
-    lines = oplog.read(spark, sf, "lineitem").select(oplog.line_key().alias("key"), F.struct(*rest).alias("lsn"))
-    return lines.groupBy("key").agg(F.max("lsn").alias("v")).select("key", "v.*")
+    lines = oplog.read(spark, sf, "lineitem").select(oplog.line_key().alias("key"), *rest)
+    top = Window.partitionBy("key").orderBy(*(F.desc(c) for c in rest))
+    return lines.withColumn("_rank", F.row_number().over(top)).filter("_rank = 1").drop("_rank")
 
 
 @query(f"WITH {V} SELECT * FROM visible")
