@@ -66,4 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{name}-{k}-{step}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:  # the next output stands, so that nothing reads the one before any more
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{k - 1}-{STAGES[k - 1][0]}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return STAGES[-1][1](spark, docs, sf_dir)
