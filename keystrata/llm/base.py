@@ -62,14 +62,14 @@ SUBS = 1024
 class Deal:
     """Deals rows into blocks of about `rows_per_block` rows by a key of whole numbers, in the key's order, nulls first.
 
-    Blocks number at most the square root of the rows, so that a table with a row for each block stays small against any task
+    Blocks number at most four times the square root of the rows, so that a table with a row for each block stays small against any task
     while a block grows with the root alone. A key (or null) that holds more than a block's share is a range by itself and is split further
     by a tie-breaking number from 0 to SUBS - 1; the order of rows is then (key, that number, ...).
     """
 
     def __init__(self, df: DataFrame, key: str, rows_per_block: int):
         rows, held = df.agg(F.count(F.lit(1)), F.count(key)).first()
-        n = max(1, min(-(-held // rows_per_block), math.isqrt(held)))
+        n = max(1, min(-(-held // rows_per_block), 4 * math.isqrt(held)))
         found: list[int] = []
         if n > 1:
             found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("b")).first()["b"] or []

@@ -6,7 +6,12 @@ that are named by the sampled tokens whose hash under that node is below 1 / (sp
 under at least J / split shared tokens on average. A bucket with few sets is compared at once; a larger one splits again, level by
 level, until its parts are small. A bucket that hardly splits (a child keeps `SAME` of its parent's sets, as groups of near copies do) or
 that is still large on level `LEVELS` is compared in blocks bounded by rows and by bytes of tokens, each pair of blocks a task's unit.
-That part is quadratic in the number of different sets of such a group: exact link counts are as many as that; exact copies cost nothing.
+
+Groups of near copies are mostly settled without pairs. One minus Jaccard is a metric, so all sets within 0.1 of one set, the ball's centre,
+link with each other: a ball is a clique of links, its members' counts are its size, and a star connects it. Each set of a bucket above `DENSE`
+is compared with one centre, the least set name of such a bucket that a sample finds near; buckets then compare only sets of different balls, and
+in a bucket of many blocks those of its largest ball meet the others alone. What stays quadratic is a group whose sets are further than 0.1 from
+its centres and still link: exact link counts are as many as that. Exact copies cost nothing.
 
 The number of runs follows from the target recall: the chance that a pair of the least likeness survives any number of levels is
 that of a branching process with J / split children on average.
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from keystrata.llm import base
 
@@ -43,6 +49,9 @@ SAME = 0.7  # a child with this share of its parent's sets is not split again
 LEVELS = 6
 BLOCK = 2048  # sets of a block
 BLOCK_BYTES = 8 << 20  # bytes of a block's tokens
+DENSE = 256  # sets of a bucket above which balls are looked for
+RADIUS = (1 - LEAST) / 2
+SALT = 4096  # members of a ball that one task compares with its centre
 SKETCH = 16
 SKETCH_SHARE = 0.3
 TARGET = 0.999
@@ -172,7 +181,7 @@ class Bucket:
         self.columns = made
         # A row that comes twice counts once.
         self.keep = np.sort(np.unique(made["set"], return_index=True)[1])
-        self.set, self.n, self.part = (made[c][self.keep] for c in ("set", "n", "part"))
+        self.set, self.n, self.part, self.ball = (made[c][self.keep] for c in ("set", "n", "part", "ball"))
         self.copies = made["copies"][self.keep] if "copies" in made else None
         self._marked: tuple | None = None
 
@@ -193,17 +202,19 @@ class Bucket:
         return codes, edges, owner[order], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(values)))])
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(i, all j > i) to compare here: like sketches, fitting sizes, and no bucket before this one."""
+        """(i, all j > i) to compare here: like sketches, fitting sizes, different balls, and no bucket before this one."""
         m = len(self.keep)
+        if (self.ball == self.ball[0]).all():
+            return
         if m <= 24:
             low = [frozenset(self.list("low", i).tolist()) for i in range(m)]
             leaves = [frozenset(self.list("leaves", i).tolist()) for i in range(m)]
-            path, n, part = int(self.path), self.n.tolist(), self.part.tolist()
+            path, n, part, ball = int(self.path), self.n.tolist(), self.part.tolist(), self.ball.tolist()
             for i in range(m - 1):
                 found = []
                 for j in range(i + 1, m):
                     small, large = min(n[i], n[j]), max(n[i], n[j])
-                    if small < LEAST * large or (self.across and part[i] == part[j]):
+                    if small < LEAST * large or ball[i] == ball[j] or (self.across and part[i] == part[j]):
                         continue
                     if len(low[i] & low[j]) >= SKETCH_SHARE * min(SKETCH, small) and min(leaves[i] & leaves[j]) == path:
                         found.append(j)
@@ -214,10 +225,13 @@ class Bucket:
         before, b_edges, b_owners, b_starts = self._postings("leaves", self.path)
         size = self.n
         for i in range(m - 1):
+            other = self.ball != self.ball[i]
+            if not other[i + 1 :].any():
+                continue
             own = codes[edges[i] : edges[i + 1]]
             common = np.bincount(np.concatenate([owners[starts[c] : starts[c + 1]] for c in own.tolist()]), minlength=m)
             small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
-            fits = (common >= SKETCH_SHARE * np.minimum(SKETCH, small)) & (small >= LEAST * large)
+            fits = (common >= SKETCH_SHARE * np.minimum(SKETCH, small)) & (small >= LEAST * large) & other
             fits[: i + 1] = False
             if self.across:
                 fits &= self.part != self.part[i]
@@ -383,6 +397,84 @@ def components(edges: DataFrame) -> DataFrame:
         now = base.cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
 
 
+def _reader(documents: DataFrame, sets: DataFrame):
+    """A function that adds the tokens of each row's set (column set), read again from the text of its representative."""
+    lost = not sets.filter("rep.lost").isEmpty()
+
+    def read(rows: DataFrame) -> DataFrame:
+        heads = rows.join(sets.select("set", "rep"), "set").select("*", "rep.doc_id", "rep.row").drop("rep")
+        texts = documents.join(heads, ["doc_id", "row"])
+        if lost:  # sets of which no row has an id: one of their equal texts each
+            plain = documents.filter("doc_id is null").groupBy("row").agg(F.any_value("text").alias("text"))
+            texts = texts.unionByName(plain.join(heads.filter("doc_id is null"), "row"))
+        schema = StructType([*rows.schema.fields, StructField("tokens", BinaryType())])
+        return texts.select(*rows.columns, "text").mapInArrow(_read_sets, schema)
+
+    return read
+
+
+def _near_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, ball) of the sets within the radius of their centre, from rows sorted by (centre, salt, role), the centre's own first."""
+    name, centre = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        values, edges = _lists(batch.column("tokens"))
+        names, balls = [], []
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "role", "set")), strict=True)):
+            tokens = values[edges[k] : edges[k + 1]]
+            if row[2] == 0:
+                name, centre = row[:2], tokens.copy()
+            elif row[:2] == name:
+                both = len(np.intersect1d(centre, tokens, assume_unique=True))
+                if both >= (1 - RADIUS) * (len(centre) + len(tokens) - both):
+                    names.append(row[3]), balls.append(row[0])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(balls, pa.int64())], names=["set", "ball"])
+
+
+def _balls(dense: DataFrame, sets: DataFrame, read) -> DataFrame:
+    """(set, ball) of the sets that lie in a ball with others, from (set, node) of large buckets; a ball is named by its centre."""
+    n = base.partitions(sets.sparkSession)
+    centres = dense.groupBy("node").agg(F.min("set").alias("centre"))
+    asked = dense.join(centres, "node").select("set", "centre").distinct()
+    held = base.cut(asked.select("centre").distinct().join(sets.select(F.col("set").alias("centre"), F.col("sample").alias("other"), F.col("n").alias("m")), "centre"))
+    like = F.size(F.array_intersect("sample", "other")) >= (1 - RADIUS) * 0.97 * F.least(F.lit(SAMPLE), "n", "m")
+    few = F.broadcast(held) if held.count() <= 20_000 else held  # samples of 512 bytes; beyond, a join that splits skewed centres
+    near = asked.join(sets.select("set", "n", "sample"), "set").join(few, "centre").filter(like)
+    chosen = base.cut(near.groupBy("set").agg(F.min("centre").alias("centre")))
+    salts = base.cut(chosen.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")))
+    members = chosen.join(salts, "centre").select("set", "centre", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    own = salts.select(F.col("centre").alias("set"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    roles = members.unionByName(own).groupBy("set").agg(F.collect_list(F.struct("centre", "salt", "role")).alias("at"))
+    sent = read(roles).withColumn("l", F.explode("at")).select("set", "l.*", "tokens").repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    found = base.cut(sent.mapInArrow(_near_centres, "set long, ball long").distinct())
+    # A centre that is in no other's ball is in its own.
+    alone = found.select(F.col("ball").alias("set"), "ball").distinct().join(found.select("set"), "set", "left_anti")
+    return base.cut(found.unionByName(alone))
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """Rows (path, left, right, part, ...) of the pairs of blocks in which each set meets others, from (path, size, weight, ball, ...).
+
+    A bucket above DENSE is left out if it is one ball; with several blocks the sets of its largest ball are dealt apart from the others
+    and meet only those.
+    """
+    number = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight * 8 / BLOCK_BYTES)).cast("int")
+    per = entries.filter(F.col("size") > DENSE).groupBy("path", "ball").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"))
+    per = per.groupBy("path").agg(F.count(F.lit(1)).alias("balls"), F.max(F.struct("rows", "held", "ball")).alias("top"))
+    per = base.cut(per.select("path", "balls", F.col("top.ball").alias("main"), F.col("top.rows").alias("main_rows"), F.col("top.held").alias("main_held")))
+    rows = entries.join(per, "path", "left").filter("balls is null or balls > 1")
+    apart = F.coalesce(number(F.col("size"), F.col("weight")) > 1, F.lit(False)) & F.col("main").isNotNull()
+    first = F.when(apart, number(F.col("size") - F.col("main_rows"), F.col("weight") - F.col("main_held"))).otherwise(number(F.col("size"), F.col("weight")))
+    rows = rows.withColumns({"first": first, "second": F.when(apart, number(F.col("main_rows"), F.col("main_held"))).otherwise(0)})
+    rows = rows.withColumn("is_main", F.coalesce(apart & (F.col("ball") == F.col("main")), F.lit(False)))
+    draw = F.xxhash64("set", "path")
+    rows = rows.withColumn("part", F.when(F.col("is_main"), F.col("first") + F.pmod(draw, F.greatest("second", F.lit(1)))).otherwise(F.pmod(draw, F.col("first"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")) - 1)
+    rows = rows.withColumn("other", F.explode(meets))
+    return rows.select("path", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "set", "n", "ball", "low", "leaves")
+
+
 def _classes(documents: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, set) of every row of documents, set null for a text without words; (set, copies, class_id, n_links, first).
 
@@ -396,32 +488,35 @@ def _classes(documents: DataFrame, target: float = TARGET) -> tuple[DataFrame, D
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")).alias("rep")
     about = [F.any_value(c).alias(c) for c in ("n", "sample")]
     sets = base.cut(found.filter("set is not null").groupBy("set").agg(rep, F.count(F.lit(1)).alias("copies"), *about))
+    read = _reader(documents, sets)
 
-    leaves = _leaves(sets, target).groupBy("set").agg(F.collect_list(F.struct("node", "size", "tokens")).alias("at"))
+    leaves = _leaves(sets, target)
+    dense = base.cut(leaves.filter(F.col("size") > DENSE).select("set", "node"))
+    balls = None if dense.isEmpty() else _balls(dense, sets, read)
+    leaves = leaves.groupBy("set").agg(F.collect_list(F.struct("node", "size", "tokens")).alias("at"))
     low = F.slice("sample", 1, SKETCH).alias("low")
-    about = base.cut(leaves.join(sets.select("set", "rep", "copies", "n", low), "set").withColumn("leaves", F.col("at.node")))
-
-    entries = about.select("set", "n", "low", "leaves", F.explode("at").alias("l"))
-    entries = entries.select("set", "n", "low", "leaves", F.col("l.node").alias("path"), F.col("l.size").alias("size"), F.col("l.tokens").alias("weight"))
-    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES)).cast("int")
-    entries = entries.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("set", "path"), parts).cast("int")})
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    entries = entries.select("path", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "set", "n", "low", "leaves")
+    about = leaves.join(sets.select("set", "copies", "n", low), "set").withColumn("leaves", F.col("at.node"))
+    about = about.withColumn("ball", F.col("set")) if balls is None else about.join(balls, "set", "left").withColumn("ball", F.coalesce("ball", "set"))
+    about = base.cut(about)
+
+    entries = about.select("set", "n", "ball", "low", "leaves", F.explode("at").alias("l"))
+    entries = entries.select("set", "n", "ball", "low", "leaves", F.col("l.node").alias("path"), F.col("l.size").alias("size"), F.col("l.tokens").alias("weight"))
+    entries = _blocks(entries)
     n = base.partitions(spark)
     bucket = ["path", "left", "right"]
     wanted = entries.repartition(n, *bucket).sortWithinPartitions(*bucket).mapInArrow(_wanted, "path long, left int, right int, part int, set long")
-    wanted = base.cut(wanted.groupBy("set").agg(F.collect_list(F.struct(*bucket, "part")).alias("at")))
-
-    heads = wanted.join(about.drop("at"), "set").select("*", "rep.doc_id", "rep.row").drop("rep")
-    texts = documents.join(heads, ["doc_id", "row"])
-    if not sets.filter("rep.lost").isEmpty():
-        # Sets of which no row has an id: one of their equal texts each.
-        lost = documents.filter("doc_id is null").groupBy("row").agg(F.any_value("text").alias("text"))
-        texts = texts.unionByName(lost.join(heads.filter("doc_id is null"), "row"))
-    fields = "doc_id long, set long, at array<struct<path:long,left:int,right:int,part:int>>, copies long, n int, low array<long>, leaves array<long>"
-    read = texts.select("doc_id", "set", "at", "copies", "n", "low", "leaves", "text").mapInArrow(_read_sets, f"{fields}, tokens binary")
-    sent = read.withColumn("l", F.explode("at")).select("l.path", "l.left", "l.right", "l.part", "set", "copies", "n", "low", "leaves", "tokens")
+    wanted = base.cut(wanted.groupBy("set").agg(F.collect_list(F.struct(*bucket, "part")).alias("places")))
+
+    sent = read(wanted.join(about.drop("at"), "set").select("set", "places", "copies", "n", "ball", "low", "leaves")).withColumn("l", F.explode("places"))
+    sent = sent.select("l.path", "l.left", "l.right", "l.part", "set", "copies", "n", "ball", "low", "leaves", "tokens")
     made = base.cut(sent.repartition(n, *bucket).sortWithinPartitions(*bucket).mapInArrow(_links, "a long, b long, links long"))
+    if balls is not None:
+        held = balls.join(sets.select("set", "copies"), "set")
+        totals = base.cut(held.groupBy("ball").agg(F.sum("copies").alias("total")))
+        few = F.broadcast(totals) if totals.count() <= 100_000 else totals  # 16 bytes a ball; beyond, a join that splits skewed balls
+        inside = held.join(few, "ball").select(F.col("set").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("total") - F.col("copies")).alias("links"))
+        star = balls.filter("set != ball").select(F.col("set").alias("a"), F.col("ball").alias("b"), F.lit(0).cast("long").alias("links"))
+        made = made.unionByName(inside).unionByName(star)
 
     roots = components(made.filter("b is not null").select("a", "b"))
     links = made.filter("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))

@@ -78,7 +78,7 @@ def mix(documents: DataFrame, keep: list[str] | None = None, shards: int = 8, bl
     per = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = base.cut(quotas(targets(base.cut(per)), shards, blocks).withColumn("name", name))
     n_rows = plan.agg(F.sum("n")).first()[0] or 0
-    deal = max(1, min(-(-n_rows // rows_per_block), math.isqrt(n_rows)))
+    deal = max(1, min(-(-n_rows // rows_per_block), 4 * math.isqrt(n_rows)))
     draw = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)))
 
     def dealt(rows: DataFrame) -> DataFrame:

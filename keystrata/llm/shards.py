@@ -1,8 +1,8 @@
 """Contiguous shards of least largest size: minimax partition over ordered atomic groups, found by binary search.
 
 Equal texts form one group that no cut divides; null texts form a group too. Groups stand in the order of their first doc_id.
-The search keeps on the driver the running sizes at block edges and, on demand, those inside a few blocks; blocks are at most the
-square root of the groups in number, and so is the size of each beyond `rows_per_block`. Everything else is DataFrame work over rows of a few numbers.
+The search keeps on the driver the running sizes at block edges and, on demand, those inside a few blocks; blocks are at most
+four times the square root of the rows in number, and the size of each beyond `rows_per_block` is of that order too. Everything else is DataFrame work over rows of a few numbers.
 
 Nulls: a null text has size 1 and checksum 0; a null doc_id stands first. Repeated rows stay together as equal texts do; of rows or groups
 with one doc_id the text's checksum decides the order, and an id that very many share is split into blocks by it. An empty table gives no rows. Fewer groups than shards leave shards empty. Other columns are ignored.

@@ -75,6 +75,16 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(small < large * least, F.lit(0.0)).otherwise(both / (small + large - both)).cast("double")
 
 
+def set_part(signature_set: Column, least: float = 0.8) -> Column:
+    """The partition of a set by its length: sets whose Jaccard is at least `least` lie in one or in two neighbouring ones."""
+    return F.floor(F.log(F.size(signature_set).cast("double")) / -F.log(F.lit(least))).cast("int")
+
+
+def is_copy(a: Column, b: Column, near: Column, least: float = 0.8) -> Column:
+    """Whether two sets have a Jaccard of `least`; partitions that are no neighbours settle it without looking at `near`."""
+    return F.when(F.abs(set_part(a, least) - set_part(b, least)) > 1, F.lit(False)).otherwise(near >= least)
+
+
 def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame], rows_per_block: int = 500) -> DataFrame:
     """Rows (doc_id, text) with the columns that `derive` adds, and next_<c> for text and each of those: what the next row by
     (doc_id, hash of the text, text) has, after the last row what the first has.
@@ -100,7 +110,11 @@ def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame], rows_pe
 
 
 def fingerprints(documents: DataFrame, chain: int = 2) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents.
+
+    After these set_part, the fingerprint's partition by length, and whether the edited text and the next document are near copies by 0.8
+    (copy_edited, copy_next), pruned by those partitions.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows, lambda r: with_signatures(r, "text", "own", chain))
     half = F.expr("length(text) div 2")
@@ -110,7 +124,10 @@ def fingerprints(documents: DataFrame, chain: int = 2) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"), "own", "other", "next",
+    ).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", set_part(F.col("own")).alias("set_part"),
+        is_copy(F.col("own"), F.col("other"), F.col("near_edited")).alias("copy_edited"), is_copy(F.col("own"), F.col("next"), F.col("near_next")).alias("copy_next"),
     )
 
 
@@ -129,8 +146,7 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, chain: int = 2) ->
     ordered = spread.join(rare, "sig").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("rank"))
     prefix = ordered.select("id", F.explode(F.slice("rank", F.lit(1), F.size("rank") - F.ceil(F.size("rank") * least).cast("int") + 1)).alias("r"))
     heads = base.cut(prefix.select("id", F.col("r.sig").alias("sig")).join(sets.select("id", "n"), "id"))
-    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(least))).cast("int")
-    heads = heads.withColumn("band", band)
+    heads = heads.join(sets.select("id", set_part(F.col("set"), least).alias("band")), "id")
     near = heads.select(F.col("id").alias("b"), "sig", F.col("n").alias("m"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     pairs = heads.withColumnRenamed("id", "a").join(near, ["sig", "band"])
     fits = (F.least("n", "m") >= F.greatest("n", "m") * least) & (F.col("a") != F.col("b"))

@@ -411,7 +411,7 @@ def test_spot_signatures_against_an_independent_reading(spark, docs):
     for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
         a, b = spots(t), spots(n)
         wrong += set(found[i]["fingerprint"].split()) != {hashes[s] for s in a}
-        assert abs(found[i]["near_next"] - len(a & b) / len(a | b)) < 1e-12
+        assert abs(found[i]["near_next"] - len(a & b) / len(a | b)) < 1e-12 and found[i]["copy_next"] == (len(a & b) >= 0.8 * len(a | b))
     assert wrong == 0
 
 
@@ -686,7 +686,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         held[max(names, key=lambda s: (target[s] / (2 * held[s] + 1), -names.index(s)))] += 1
     ids = spark.createDataFrame([(r[0],) for r in kept], "doc_id long")
     draw = {r[0]: r[1] for r in ids.select("doc_id", F.xxhash64(F.lit(17), F.coalesce("doc_id", F.lit(0)))).collect()}
-    n_rows, parts = len(kept), max(1, min(-(-len(kept) // 1000), int(len(kept) ** 0.5)))
+    n_rows, parts = len(kept), max(1, min(-(-len(kept) // 1000), 4 * int(len(kept) ** 0.5)))
     assert parts == 1 and n_rows == len({r[0] for r in kept})
     out = []
     for s in names:
@@ -707,3 +707,62 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     empty = docs.filter("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def _brute_links(rows):
+    sets = {i: frozenset(chosen_path.shingles(t).tolist()) for i, t in rows}
+    links, root = Counter(), {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            links[i] += 1
+            links[j] += 1
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {i: (top(i), links[i]) for i in sets}
+
+
+def test_balls_count_every_link_once(spark, monkeypatch):
+    """Large groups of near copies, tight and loose ones and two that touch, with blocks of several sizes and copies among them."""
+    monkeypatch.setattr(chosen_path, "DENSE", 40)
+    draw = random.Random(31)
+
+    def near(words, changes):
+        words = list(words)
+        for _ in range(changes):
+            words[draw.randrange(len(words))] = f"z{draw.randrange(10**6)}"
+        return " ".join(words)
+
+    one = [f"a{i}" for i in range(200)]
+    two = [*one[:180], *(f"b{i}" for i in range(20))]
+    loose = [f"c{i}" for i in range(120)]
+    texts_of = [near(one, draw.choice([0, 1, 1, 2, 3])) for _ in range(110)] + [near(two, draw.choice([0, 1, 2, 4])) for _ in range(90)] + [near(loose, draw.randint(1, 5)) for _ in range(80)]
+    texts_of += texts_of[:7] * 3 + [near([f"d{i}{k}" for k in range(50)], 1) for i in range(30)]
+    rows = list(enumerate(texts_of))
+    draw.shuffle(rows)
+    want = _brute_links(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2048, 30):
+        monkeypatch.setattr(chosen_path, "BLOCK", block)
+        monkeypatch.setattr(chosen_path, "SALT", block)
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(frame).collect()} == want
+
+
+def test_a_tight_group_needs_no_pairs(spark, monkeypatch):
+    """A group of near copies within one ball has its links counted without one comparison of pairs."""
+    monkeypatch.setattr(chosen_path, "DENSE", 100)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(frame).collect()} == {(0, 499)}
+    columns = {"set": list(range(500)), "n": [301] * 500, "part": [0] * 500, "ball": [7] * 500}
+    import numpy as np
+
+    bucket = chosen_path.Bucket(1, False, [({k: np.array(v) for k, v in columns.items()}, 0, 500)])
+    assert list(bucket.pairs()) == []
