@@ -453,26 +453,26 @@ def _balls(dense: DataFrame, sets: DataFrame, read) -> DataFrame:
     return base.cut(found.unionByName(alone))
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """Rows (path, left, right, part, ...) of the pairs of blocks in which each set meets others, from (path, size, weight, ball, ...).
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(set, path, part, most) of each set's buckets, from (set, node, size, tokens, n, ball): it is in block `part` and meets blocks 0 to `most`.
 
     A bucket above DENSE is left out if it is one ball; with several blocks the sets of its largest ball are dealt apart from the others
     and meet only those.
     """
-    number = lambda rows, weight: F.greatest(F.ceil(rows / BLOCK), F.ceil(weight * 8 / BLOCK_BYTES)).cast("int")
-    per = entries.filter(F.col("size") > DENSE).groupBy("path", "ball").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("held"))
-    per = per.groupBy("path").agg(F.count(F.lit(1)).alias("balls"), F.max(F.struct("rows", "held", "ball")).alias("top"))
-    per = base.cut(per.select("path", "balls", F.col("top.ball").alias("main"), F.col("top.rows").alias("main_rows"), F.col("top.held").alias("main_held")))
-    rows = entries.join(per, "path", "left").filter("balls is null or balls > 1")
-    apart = F.coalesce(number(F.col("size"), F.col("weight")) > 1, F.lit(False)) & F.col("main").isNotNull()
-    first = F.when(apart, number(F.col("size") - F.col("main_rows"), F.col("weight") - F.col("main_held"))).otherwise(number(F.col("size"), F.col("weight")))
-    rows = rows.withColumns({"first": first, "second": F.when(apart, number(F.col("main_rows"), F.col("main_held"))).otherwise(0)})
-    rows = rows.withColumn("is_main", F.coalesce(apart & (F.col("ball") == F.col("main")), F.lit(False)))
-    draw = F.xxhash64("set", "path")
-    rows = rows.withColumn("part", F.when(F.col("is_main"), F.col("first") + F.pmod(draw, F.greatest("second", F.lit(1)))).otherwise(F.pmod(draw, F.col("first"))).cast("int"))
-    meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")) - 1)
-    rows = rows.withColumn("other", F.explode(meets))
-    return rows.select("path", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "set", "n", "ball", "low", "leaves")
+    number = lambda sets, tokens: F.greatest(F.ceil(sets / BLOCK), F.ceil(tokens * 8 / BLOCK_BYTES)).cast("int")
+    draw, parts = F.xxhash64("set", "node"), number(F.col("size"), F.col("tokens"))
+    plain = rows.filter(F.col("size") <= DENSE).select("set", F.col("node").alias("path"), F.pmod(draw, parts).cast("int").alias("part"), (parts - 1).alias("most"))
+    dense = rows.filter(F.col("size") > DENSE)
+    per = dense.groupBy("node", "ball").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("held")).groupBy("node")
+    per = per.agg(F.count(F.lit(1)).alias("balls"), F.max(F.struct("sets", "held", "ball")).alias("top")).filter("balls > 1").select("node", "top")
+    dense = dense.join(per, "node")
+    apart = parts > 1
+    first = F.when(apart, number(F.col("size") - F.col("top.sets"), F.col("tokens") - F.col("top.held"))).otherwise(parts)
+    second = F.when(apart, number(F.col("top.sets"), F.col("top.held"))).otherwise(0)
+    dense = dense.withColumns({"first": first, "second": second, "main": apart & (F.col("ball") == F.col("top.ball"))})
+    part = F.when(F.col("main"), F.col("first") + F.pmod(draw, F.greatest("second", F.lit(1)))).otherwise(F.pmod(draw, F.col("first")))
+    most = F.when(F.col("main"), F.col("first") - 1).otherwise(F.col("first") + F.col("second") - 1)
+    return plain.unionByName(dense.select("set", F.col("node").alias("path"), part.cast("int").alias("part"), most.cast("int").alias("most")))
 
 
 def _classes(documents: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
@@ -493,15 +493,17 @@ def _classes(documents: DataFrame, target: float = TARGET) -> tuple[DataFrame, D
     leaves = _leaves(sets, target)
     dense = base.cut(leaves.filter(F.col("size") > DENSE).select("set", "node"))
     balls = None if dense.isEmpty() else _balls(dense, sets, read)
-    leaves = leaves.groupBy("set").agg(F.collect_list(F.struct("node", "size", "tokens")).alias("at"))
     low = F.slice("sample", 1, SKETCH).alias("low")
-    about = leaves.join(sets.select("set", "copies", "n", low), "set").withColumn("leaves", F.col("at.node"))
+    thin = leaves.join(sets.select("set", "n"), "set")
+    thin = thin.withColumn("ball", F.col("set")) if balls is None else thin.join(balls, "set", "left").withColumn("ball", F.coalesce("ball", "set"))
+    at = _blocks(thin.select("set", "node", "size", "tokens", "n", "ball")).groupBy("set").agg(F.collect_list(F.struct("path", "part", "most")).alias("at"))
+    about = at.join(sets.select("set", "copies", "n", low), "set").withColumn("leaves", F.col("at.path"))
     about = about.withColumn("ball", F.col("set")) if balls is None else about.join(balls, "set", "left").withColumn("ball", F.coalesce("ball", "set"))
     about = base.cut(about)
 
-    entries = about.select("set", "n", "ball", "low", "leaves", F.explode("at").alias("l"))
-    entries = entries.select("set", "n", "ball", "low", "leaves", F.col("l.node").alias("path"), F.col("l.size").alias("size"), F.col("l.tokens").alias("weight"))
-    entries = _blocks(entries)
+    entries = about.select("set", "n", "ball", "low", "leaves", F.explode("at").alias("l")).select("set", "n", "ball", "low", "leaves", "l.*")
+    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    entries = entries.select("path", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "set", "n", "ball", "low", "leaves")
     n = base.partitions(spark)
     bucket = ["path", "left", "right"]
     wanted = entries.repartition(n, *bucket).sortWithinPartitions(*bucket).mapInArrow(_wanted, "path long, left int, right int, part int, set long")
