@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: ASCII white space: what separates words in every operator here.
 WS = r"\x20\x09-\x0D"
+BATCH_BYTES = "8m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,7 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by sys.path alone."""
+    """Lets Python workers import this package when the driver found it by sys.path alone, and bounds the bytes of a batch sent to them.
+
+    Spark's bound is far larger than what a batch needs, and each batch stands in direct memory of the executor until a collection.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
