@@ -49,7 +49,7 @@ SAME = 0.7  # a child with this share of its parent's sets is not split again
 LEVELS = 6
 BLOCK = 2048  # sets of a block
 BLOCK_BYTES = 8 << 20  # bytes of a block's tokens
-DENSE = 256  # sets of a bucket above which balls are looked for
+DENSE = 2048  # sets of a bucket above which balls are looked for: more than one block
 RADIUS = (1 - LEAST) / 2
 SALT = 4096  # members of a ball that one task compares with its centre
 SKETCH = 16
