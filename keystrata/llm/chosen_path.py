@@ -49,7 +49,7 @@ SAME = 0.7  # a child with this share of its parent's sets is not split again
 LEVELS = 6
 BLOCK = 2048  # sets of a block
 BLOCK_BYTES = 8 << 20  # bytes of a block's tokens
-DENSE = 2048  # sets of a bucket above which balls are looked for: more than one block
+DENSE = 256  # sets of a bucket above which balls are looked for
 RADIUS = (1 - LEAST) / 2
 SALT = 4096  # members of a ball that one task compares with its centre
 SKETCH = 16
@@ -398,12 +398,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _reader(documents: DataFrame, sets: DataFrame):
-    """A function that adds the tokens of each row's set (column set), read again from the text of its representative."""
+    """A function that adds the tokens of each row's set (column set), read again from the text of its representative.
+
+    Rows known to be `few` pick their texts where they are read, so that no other text moves.
+    """
     lost = not sets.filter("rep.lost").isEmpty()
 
-    def read(rows: DataFrame) -> DataFrame:
+    def read(rows: DataFrame, few: bool = False) -> DataFrame:
         heads = rows.join(sets.select("set", "rep"), "set").select("*", "rep.doc_id", "rep.row").drop("rep")
-        texts = documents.join(heads, ["doc_id", "row"])
+        some = documents.join(F.broadcast(heads.select("doc_id", "row")), ["doc_id", "row"], "left_semi") if few else documents
+        texts = some.join(heads, ["doc_id", "row"])
         if lost:  # sets of which no row has an id: one of their equal texts each
             plain = documents.filter("doc_id is null").groupBy("row").agg(F.any_value("text").alias("text"))
             texts = texts.unionByName(plain.join(heads.filter("doc_id is null"), "row"))
@@ -445,8 +449,9 @@ def _balls(dense: DataFrame, sets: DataFrame, read) -> DataFrame:
     salts = base.cut(chosen.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")))
     members = chosen.join(salts, "centre").select("set", "centre", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = salts.select(F.col("centre").alias("set"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = members.unionByName(own).groupBy("set").agg(F.collect_list(F.struct("centre", "salt", "role")).alias("at"))
-    sent = read(roles).withColumn("l", F.explode("at")).select("set", "l.*", "tokens").repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    roles = base.cut(members.unionByName(own).groupBy("set").agg(F.collect_list(F.struct("centre", "salt", "role")).alias("at")))
+    # 16 bytes a set are broadcast, up to a bound; beyond, texts are joined.
+    sent = read(roles, roles.count() <= 200_000).withColumn("l", F.explode("at")).select("set", "l.*", "tokens").repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
     found = base.cut(sent.mapInArrow(_near_centres, "set long, ball long").distinct())
     # A centre that is in no other's ball is in its own.
     alone = found.select(F.col("ball").alias("set"), "ball").distinct().join(found.select("set"), "set", "left_anti")
