@@ -728,9 +728,8 @@ def _brute_links(rows):
     return {i: (top(i), links[i]) for i in sets}
 
 
-def test_balls_count_every_link_once(spark, monkeypatch):
+def test_large_groups_count_every_link_once(spark, monkeypatch):
     """Large groups of near copies, tight and loose ones and two that touch, with blocks of several sizes and copies among them."""
-    monkeypatch.setattr(chosen_path, "DENSE", 40)
     draw = random.Random(31)
 
     def near(words, changes):
@@ -750,19 +749,4 @@ def test_balls_count_every_link_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (2048, 30):
         monkeypatch.setattr(chosen_path, "BLOCK", block)
-        monkeypatch.setattr(chosen_path, "SALT", block)
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(frame).collect()} == want
-
-
-def test_a_tight_group_needs_no_pairs(spark, monkeypatch):
-    """A group of near copies within one ball has its links counted without one comparison of pairs."""
-    monkeypatch.setattr(chosen_path, "DENSE", 100)
-    words = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(500)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r["class_id"], r["n_links"]) for r in chosen_path.near_duplicates(frame).collect()} == {(0, 499)}
-    columns = {"set": list(range(500)), "n": [301] * 500, "part": [0] * 500, "ball": [7] * 500}
-    import numpy as np
-
-    bucket = chosen_path.Bucket(1, False, [({k: np.array(v) for k, v in columns.items()}, 0, 500)])
-    assert list(bucket.pairs()) == []
