@@ -3,7 +3,8 @@
 The distinct words of a part of a partition are laid out in one array of symbols. An index maps every mergeable pair, by its
 rank, to all its positions in that array; ranks that occur are applied in ascending order, each at all its positions at once, and the
 lists of the pairs that a merge makes are extended on the way. This equals merging each word by itself because a merged symbol
-takes part in later ranks only, which is checked when a vocabulary is read. Words' ids are kept in a bounded cache of the worker.
+takes part in later ranks only, which is checked when a vocabulary is read. Ids of words, and of what stands between blanks, are kept
+in bounded caches of the worker; of the latter, those that the window at hand uses stay when their cache is full.
 
 Only vocabularies of the kind of word_bpe_49k.json are read: NFC, white space to blanks, lower case, one splitting pattern,
 byte symbols with an end-of-word suffix, no decoder. Added tokens inside a text are found as the library does: first in the
@@ -75,6 +76,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in made["added_tokens"]}
         self.added = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.letters = r"[\p{L}]+" in splits[0]["pattern"]["Regex"].split("|")  # letters alone are one word
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -83,10 +85,13 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a text without added tokens."""
-        chunk = unicodedata.normalize("NFC", chunk) if not chunk.isascii() else chunk
-        return self.pattern.findall(lower(chunk))
+    def split(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk; chunks have neither line breaks nor added tokens."""
+        # A line break is changed by no rule and composes with nothing, so that all chunks go through the rules at once.
+        whole = "\n".join(chunks)
+        whole = lower(whole if whole.isascii() else unicodedata.normalize("NFC", whole))
+        find, letters = self.pattern.findall, self.letters
+        return [[c] if letters and c.isalpha() else find(c) for c in whole.split("\n")] if chunks else []
 
 
 def lower(text: str) -> str:
@@ -151,63 +156,69 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray,
         for start in (more, prior):
             if len(start):
                 ranks = vocabulary.rank(symbols[start], symbols[after[start]])
-                for k, x in zip(ranks.tolist(), start.tolist(), strict=True):
-                    if k >= 0:
-                        if k not in index and k not in grown:
-                            heapq.heappush(queue, k)
-                        grown[k].append(x)
+                pairs = ranks >= 0
+                for k, x in zip(ranks[pairs].tolist(), start[pairs].tolist(), strict=True):
+                    if k not in index and k not in grown:
+                        heapq.heappush(queue, k)
+                    grown[k].append(x)
     alive = ~dead[:n]
     return symbols[:n][alive], np.bincount(word[alive], minlength=len(words))
 
 
 class Encoder:
-    """A vocabulary with the worker's cache: chunk of a text -> (its ids as bytes, its tokens joined by blanks)."""
+    """A vocabulary with the worker's caches: chunks of texts between blanks, and the words inside them."""
 
     def __init__(self, text: str):
         self.vocabulary = Vocabulary(text)
-        self.known: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.ids: dict[str, bytes] = {"": b""}  # of a chunk
+        self.decoded: dict[str, str] = {"": ""}  # of a chunk, a blank after each token
+        self.words: dict[str, tuple[bytes, str]] = {}
+
+    def merge(self, words: list[str]) -> None:
+        """Take words into the cache."""
+        ids, lengths = encode_words(words, self.vocabulary)
+        packed, listed, names = ids.astype("<u4").tobytes(), ids.tolist(), self.vocabulary.tokens
+        at = 0
+        for word, end in zip(words, np.cumsum(lengths).tolist(), strict=True):
+            self.words[word] = packed[4 * at : 4 * end], "".join([names[i] + " " for i in listed[at:end]])
+            at = end
 
     def learn(self, chunks: list[str]) -> None:
+        """Take chunks without blanks or line breaks into the cache; what stands beside an added token is a chunk too."""
         own = self.vocabulary
-        distinct: dict[str, int] = {}
-        plans: list[list[int]] = []  # word numbers from 0, or added tokens as -1 - id
-        for chunk in chunks:
-            parts = own.special.split(chunk) if own.special and "<" in chunk else (chunk,)
-            plan = []
-            for part in parts:
-                if part in own.added:
-                    plan.append(-1 - own.added[part])
-                else:
-                    plan += [distinct.setdefault(w, len(distinct)) for w in own.words(part)]
-            plans.append(plan)
-        ids, lengths = encode_words(list(distinct), own)
-        ends = np.cumsum(lengths).tolist()
-        packed, listed, names = ids.astype("<u4").tobytes(), ids.tolist(), own.tokens
-        single, at = [], 0
-        for end in ends:
-            single.append((packed[4 * at : 4 * end], " ".join([names[i] for i in listed[at:end]])))
-            at = end
+        parts: dict[str, list[str]] = {}
+        if own.special and own.special.search("\n".join(chunks)):
+            parts = {c: own.special.split(c) for c in chunks if own.special.search(c)}
+            chunks = list({*chunks, *(p for found in parts.values() for p in found if p not in own.added)}.difference(parts))
+        plans = own.split(chunks)
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        self.merge(list({w for plan in plans for w in plan if w not in self.words}))
         for chunk, plan in zip(chunks, plans, strict=True):
-            if len(plan) == 1 and plan[0] >= 0:
-                self.known[chunk] = single[plan[0]]
+            if len(plan) == 1:
+                self.ids[chunk], self.decoded[chunk] = self.words[plan[0]]
             else:
-                found = [single[k] if k >= 0 else ((-1 - k).to_bytes(4, "little"), names[-1 - k]) for k in plan]
-                self.known[chunk] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]]))
+                found = [self.words[w] for w in plan]
+                self.ids[chunk], self.decoded[chunk] = b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+        for chunk, found in parts.items():
+            self.ids[chunk] = b"".join([own.added[p].to_bytes(4, "little") if p in own.added else self.ids[p] for p in found])
+            self.decoded[chunk] = "".join([p + " " if p in own.added else self.decoded[p] for p in found])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian 32-bit) and decoded text of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {"": (b"", "")}
-            new = set().union(*split).difference(self.known)
-        todo = sorted(new)
+        used = set().union(*split)
+        new = used.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE_ENTRIES:
+            # What these texts use stays, the rest goes.
+            self.ids = {c: self.ids[c] for c in used if c in self.ids} | {"": b""}
+            self.decoded = {c: self.decoded[c] for c in self.ids}
+        todo = list(new)
         for i in range(0, len(todo), WORD_BATCH):
             self.learn(todo[i : i + WORD_BATCH])
-        known = self.known.__getitem__
+        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
         for chunks in split:
-            found = list(map(known, chunks))
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+            yield b"".join(map(ids, chunks)), "".join(map(decoded, chunks))[:-1]
 
 
 def decode(ids: bytes, vocabulary: Vocabulary) -> str:

@@ -180,6 +180,21 @@ def test_encoding_matches_the_library(docs):
     assert all(hashlib.sha256(pair_index_bpe.decode(bytes(r["ids"]), vocabulary).encode()).hexdigest() == r["decoded_sha256"] for r in rows)
 
 
+def test_encoding_with_full_caches_and_added_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["", " ", "a<|endoftext|>B", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "<|endof text|>", "ΑΣ Σ", "e\u0301 \u0301", "x²½①", "İI\x00"]
+    many = [" ".join(f"Word{i * k}, ng{i}tion the DON'T" for i in range(40)) for k in range(1, 12)]
+    monkeypatch.setattr(pair_index_bpe, "CACHE_ENTRIES", 50)
+    with open(path, encoding="utf-8") as file:
+        own = pair_index_bpe.Encoder(file.read())
+    for text in [*odd, *many, *odd, *many]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(own.encode([text])) == [(struct.pack(f"<{len(ids)}I", *ids), tokenizer.decode(ids, skip_special_tokens=False))], text
+
+
 def test_mix_comes_near_its_targets(docs):
     rows = mixture.mix(docs).collect()
     assert len(rows) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
